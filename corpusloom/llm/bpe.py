@@ -19,12 +19,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """Minimal perfect hash by hash and displace: n keys on n slots, one seed per bucket of about four keys."""
+    """Minimal perfect hash by hash and displace: n keys on n slots, one seed per bucket of about two keys."""
 
     def __init__(self, ranks: dict[bytes, int]):
         keys = list(ranks)
         n = self.n = max(1, len(keys))
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 2)
         self.seeds = np.zeros(self.buckets, dtype=np.int64)
         self.keys: list[bytes] = [b""] * n
         self.ids = np.full(n, -1, dtype=np.int64)

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import leaks, lines, tokens
+from corpusloom.llm import leaks, lines, residue, tokens, truncation
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, folder, "articles"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.judge_records(table(spark, folder, "articles")).where("is_residue").select("article_id")
+
+
+def p6_records(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.judge_records(table(spark, folder, "articles"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -30,7 +38,16 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_texts, p8_ids, p9_found, p9_report)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    judged = truncation.judge_endings(table(spark, folder, "documents"))
+    return judged.where("reason is not null").select("doc_id")
+
+
+def p10_share(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated_share(truncation.judge_endings(table(spark, folder, "documents")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_texts, p6_found, p6_records, p8_ids, p9_found, p9_report, p10_found, p10_share)}
 
 SQL: dict[str, str] = {}
 
