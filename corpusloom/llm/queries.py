@@ -4,12 +4,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import leaks, lines, residue, tokens, truncation
+from corpusloom.llm import boilerplate, language, leaks, lines, residue, tokens, truncation
+from corpusloom.plans.shared import settle
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _language_lines(spark: SparkSession, folder: str, main_only: bool) -> DataFrame:
+    articles, labels = table(spark, folder, "articles"), table(spark, folder, "article_labels")
+    pages = residue.main_bodies(articles) if main_only else articles
+    return language.label_lines(pages, language.train(articles, labels))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.label_faults(settle(_language_lines(spark, folder, True)), table(spark, folder, "article_labels"))
+
+
+def p1_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return language.article_languages(_language_lines(spark, folder, False))
+
+
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.segments(_language_lines(spark, folder, False))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    articles = table(spark, folder, "articles")
+    furniture = residue.furniture_lines(articles)
+    return boilerplate.furniture_places(residue.main_bodies(articles, furniture), furniture=furniture)
+
+
+def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_texts(table(spark, folder, "articles"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return lines.repeated_line_places(table(spark, folder, "articles"))
 
@@ -26,6 +55,14 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     return residue.judge_records(table(spark, folder, "articles"))
 
 
+def p7_article_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.article_tokens(table(spark, folder, "articles"), p1_articles(spark, folder))
+
+
+def p7_token_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_totals(p7_article_tokens(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -47,7 +84,13 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated_share(truncation.judge_endings(table(spark, folder, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_texts, p6_found, p6_records, p8_ids, p9_found, p9_report, p10_found, p10_share)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_articles, p1_segments, p2_found, p2_texts, p4_found, p4_texts, p6_found, p6_records, p7_article_tokens, p7_token_totals,
+        p8_ids, p9_found, p9_report, p10_found, p10_share,
+    )
+}
 
 SQL: dict[str, str] = {}
 

@@ -1,5 +1,6 @@
 """Error messages, script demands, filler and unfilled templates in place of an article: positive-unlabelled naive Bayes over passages."""
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -9,14 +10,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import letters_key, source_of, words
+from corpusloom.functions.text import WORD, letters_key, source_of
 from corpusloom.llm.lines import NO_SOURCE, line_hash, repeated_lines
 from corpusloom.plans.shared import maybe_broadcast, settle
 
 #: Open slots whose syntax leaves no doubt, and those that might be an editor's brackets.
-_SURE = r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|<\?=?[^<>]{1,60}\?>|<%=?[^<>]{1,60}%>|(?<![\w%])%[\p{L}][\p{L}_. ]{1,30}%(?!\w)|(?<![{$])\{[\p{L}][\w. ]{0,40}\}|\[object Object\]|\[INSERT [^\[\]]{1,40}\]|(?<!\w)(?:undefined|NaN|null(?! and void))(?!\w)|#[A-Z_]{3,}#|@@\w+@@|(?<!\w)X{2}\.X{2}\.X{4}(?!\w)|_{4,}"
+_SURE = r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|<\?=?[^<>]{1,60}\?>|<%=?[^<>]{1,60}%>|(?<![\w%])%[\p{L}][\p{L}_. ]{1,30}%(?!\w)|(?<![{$])\{[\p{L}][\w. ]{0,40}\}|\[object Object\]|\[INSERT [^\[\]]{1,40}\]|(?<!\w)(?:undefined|NaN|null(?! and void))(?!\w)|#[\p{L}][\p{L}_. ]{1,40}#|@@[\p{L}][\w. ]{0,40}@@|<<[\p{L}][\w. ]{0,40}>>|\{%[^{}%]{1,60}%\}|&lt;[%?]=?[^&<>]{1,60}[%?]&gt;|(?<!\w)X{2}\.X{2}\.X{4}(?!\w)|_{4,}"
 _DOUBT = r"\[[\p{L}][\w. ]{1,40}\]|(?<!\w)(?:None|YYYY|TBD|TBA|XX+)(?!\w)"
 SURE, SLOT = regex.compile(_SURE), regex.compile(f"{_SURE}|{_DOUBT}")
+#: Whether a text can hold slots at all, in Java's and in Python's notation.
+_HINT = r"[{}<%#@\[&]|undefined|NaN|null|None|YYYY|XX|TB[AD]|____"
+_MARK = re.compile(_HINT)
 #: Filler that is known as such.
 FILLER = regex.compile(r"dolor sit amet|\basdf\b|\bqwerty\b|(?<!\w)x{3,}(?!\w)|\b(?:test )+test\b|placeholder text|sample text", regex.I)
 _WORD = regex.compile(r"\p{Han}|[\p{L}\p{N}--\p{Han}]+", regex.V1)
@@ -41,6 +45,11 @@ class Model:
     prior: float = 0.0
     most: int = 8
 
+    def slot(self, text: str) -> float:
+        """Mean log odds of the words in a slot."""
+        words = _WORD.findall(text.lower())
+        return sum(self.odds.get(f"<slot {w}>", 0.0) for w in words) / len(words) if words else 0.0
+
     def score(self, line: str) -> float:
         seen = set(features(line))
         return self.prior + sum(self.odds.get(w, 0.0) for w in seen) * min(1.0, self.most / len(seen)) if seen else self.prior
@@ -77,90 +86,104 @@ def fit(trusted: list[str], unlabelled: list[str], rounds: int = 4, share: float
     return Model({w: float(odds[i]) for w, i in vocab.items()}, prior)
 
 
-def _with_furniture(articles: DataFrame, least: int, percent: int) -> DataFrame:
-    """`article_id, source, lines, hashes, furniture, trusted_status` of articles with text; `furniture` holds the hashes of the source's repeated lines."""
-    found = repeated_lines(articles, least, percent).groupBy("source").agg(F.collect_set("line_hash").alias("furniture"))
-    found = maybe_broadcast(settle(found), 20_000)
+def furniture_lines(articles: DataFrame, least: int = 5, percent: int = 3) -> DataFrame:
+    """The lines that articles of a source repeat (see `repeated_lines`), settled, for all steps that need them."""
+    return settle(repeated_lines(articles, least, percent))
+
+
+def _with_own_lines(articles: DataFrame, furniture: DataFrame) -> DataFrame:
+    """`article_id, source, failed, own` of articles with text that are no directory pages; `own` holds the lines that aren't furniture."""
+    found = maybe_broadcast(settle(furniture.groupBy("source").agg(F.collect_set("line_hash").alias("furniture"))), 20_000)
     failed = (F.coalesce(F.col("http_status"), F.lit(0)) >= 400) | F.coalesce(F.lower("via").rlike("fail|none"), F.lit(False))
     base = articles.where((F.col("text") != "") & ~F.coalesce(F.col("is_directory"), F.lit(False))).select(
         "article_id", F.coalesce(source_of("src_file"), F.lit(NO_SOURCE)).alias("source"), F.split("text", "\n").alias("lines"), failed.alias("failed")
     )
-    return base.join(found, "source", "left").withColumn("own", F.filter(F.transform("lines", lambda x: F.struct(F.trim(x).alias("t"), line_hash(x).alias("h"))), lambda x: (F.length(x["t"]) > 0) & ~F.coalesce(F.array_contains("furniture", x["h"]), F.lit(False)))["t"])
+    own = F.filter("lines", lambda x: (F.trim(x) != "") & ~F.coalesce(F.array_contains("furniture", line_hash(x)), F.lit(False)))
+    return base.join(found, "source", "left").select("article_id", "source", "failed", own.alias("own"))
 
 
-def train(prepared: DataFrame, most_records: int = 4_000, short: int = 60, line: int = 30) -> Model:
-    """Fits the model on at most `most_records` trusted and as many other records, taken by the hash of their id.
+def train(articles: DataFrame, furniture: DataFrame, most_records: int = 20_000, short: int = 60, line: int = 30) -> Model:
+    """Fits the model on about `most_records` records, taken by a hash of their id.
 
     Trusted are records of at most `short` words whose fetch failed or that hold known filler; records of at most `line` words
     whose own text, digits apart, stands in two sources or three records, as no article's does; and records with three sure slots.
     """
-    text = F.array_join("own", "\n")
-    rows = prepared.where(F.size("own") > 0).select("article_id", "source", "own", "failed", text.alias("text"), F.size(words(text)).alias("n"))
-    brief = rows.where(F.col("n") <= short)
-    key = F.xxhash64(letters_key("text"))
-    shared = brief.where(F.col("n") <= line).groupBy(key.alias("key")).agg(F.count("*").alias("times"), F.min("source").alias("low"), F.max("source").alias("high"))
-    shared = shared.where((F.col("low") != F.col("high")) | (F.col("times") >= 3)).select("key")
-    shared = maybe_broadcast(settle(shared))
-    filler = F.col("text").rlike(r"(?i)dolor sit amet|\blorem\b|\basdf\b|\bqwerty\b|(?<!\w)x{4,}(?!\w)")
-    slots = F.regexp_count("text", F.lit(r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|<\?=?[^<>]{1,60}\?>|<%=?[^<>]{1,60}%>|\[object Object\]|\[INSERT [^\[\]]{1,40}\]|\b(?:undefined|NaN|null)\b|(?<![{$\w])\{[A-Za-z][\w. ]{0,40}\}|(?<![\w%])%[A-Za-z][A-Za-z_. ]{1,30}%"))
-    order = F.xxhash64("article_id")
-    first = lambda df: [list(r["own"]) for r in df.orderBy(order).limit(most_records).select("own").collect()]
-    slotted = first(rows.where((slots >= 3) & (slots * 60 >= F.col("n"))))
-    failed = first(brief.where(F.col("failed") | filler).unionByName(brief.where(~(F.col("failed") | filler) & (F.col("n") <= line)).withColumn("key", key).join(shared, "key", "left_semi").drop("key")))
-    # of the other records, a share that gives about as many as needed is looked at, by a hash of the id
-    total = max(1, prepared.count())
-    other = first(rows.where((F.pmod(F.xxhash64(F.lit("other"), "article_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 2 * most_records / total))) & ~F.col("failed") & (F.col("n") > short) & (slots < 3)))
+    total = max(1, articles.count())
+    chosen = F.pmod(F.xxhash64(F.lit("residue"), "article_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_records / total))
+    rows = _with_own_lines(articles.where(chosen), furniture).where(F.size("own") > 0)
+    rows = rows.withColumn("text", F.array_join("own", "\n")).withColumn("n", F.regexp_count("text", F.lit(WORD)))
+    kind = F.when(F.col("text").rlike(r"(?i)dolor sit amet|\blorem\b|\basdf\b|\bqwerty\b|(?<!\w)x{4,}(?!\w)"), "filler").when(F.col("failed"), "failed")
+    kept = F.xxhash64(F.lit("other"), "article_id") % 5 == 0
+    rows = settle(rows.where((F.col("n") <= short) | F.col("text").rlike(_HINT) | kept).select("article_id", "source", "own", "n", kind.alias("kind"), F.xxhash64(letters_key("text")).alias("key"), kept.alias("kept")))
+    brief = rows.where(F.col("n") <= line).groupBy("key").agg(F.count("*").alias("times"), F.min("source").alias("low"), F.max("source").alias("high"))
+    shared = {r["key"] for r in brief.where((F.col("low") != F.col("high")) | (F.col("times") >= 3)).select("key").collect()}
+    slotted, failed, other = [], [], []
+    for r in rows.select("own", "n", "kind", "key", "kept").collect():
+        sure = sum(len(SURE.findall(x)) for x in r["own"])
+        if sure >= 3 and sure * 60 >= r["n"]:
+            slotted.append(r["own"])
+        elif r["n"] <= short and r["kind"] or r["n"] <= line and r["key"] in shared:
+            failed.append(r["own"])
+        elif r["kept"] and r["n"] > short and not sure:
+            other.append(r["own"])
     trusted = [x for r in slotted for x in r if SURE.search(x)] + [x for r in failed for x in r]
     return fit(trusted, [x for r in other for x in r])
 
 
-def main_bodies(articles: DataFrame) -> DataFrame:
+def main_bodies(articles: DataFrame, furniture: DataFrame | None = None) -> DataFrame:
     """The articles that have a main body: text that is neither null nor empty, no directory page, no residue. All columns stay."""
-    bad = maybe_broadcast(settle(judge_records(articles).where("is_residue").select("article_id")))
+    bad = maybe_broadcast(settle(judge_records(articles, furniture).where("is_residue").select("article_id")))
     return articles.where((F.col("text") != "") & ~F.coalesce(F.col("is_directory"), F.lit(False))).join(bad, "article_id", "left_anti")
 
 
-def judge_records(articles: DataFrame, least: int = 5, percent: int = 3, margin: float = 2.0) -> DataFrame:
-    """`article_id, n_story, n_residue, n_slotted, is_residue` for each article with text that is no directory page.
+def judge_records(articles: DataFrame, furniture: DataFrame | None = None, margin: float = 2.0) -> DataFrame:
+    """`article_id, reason, is_residue` for each article with text that is no directory page; `reason` is `slots`, `no story` or null.
 
-    Lines repeated in at least `least` articles and `percent` % of a source are furniture and set apart. A story passage is a line
-    of at least five words that ends as a sentence and that the model doesn't take for residue; a slotted one has open slots. A
-    record is residue if it has no story passage, or if more of its passages have open slots than not. Texts that are null or
-    empty, and directory pages: no row. Every article is judged on its whole text.
+    Lines that a source repeats (`furniture_lines`) are set apart. A story passage is a line of at least five words that ends as a
+    sentence, has no open slots, and that the model doesn't take for residue. A record is residue if it has no story passage, if more of
+    its passages have open slots than are story, or if a quarter has, with two different slots. Reading stops at the first story passage where the text has no slots at all, as
+    the verdict can't change. Null and empty texts, directory pages: no row. Every article is judged on its whole text.
     """
-    prepared = _with_furniture(articles, least, percent)
-    model = train(prepared)
-    shared = articles.sparkSession.sparkContext.broadcast(model)
+    if furniture is None:
+        furniture = furniture_lines(articles)
+    shared = articles.sparkSession.sparkContext.broadcast(train(articles, furniture))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: dict[str, float] = {}
+        known: dict[str, tuple[int, int]] = {}
+
+        def judge(line: str, found: set[str]) -> tuple[int, int]:
+            """Whether it is a story passage, and a slotted one."""
+            end = _END.search(line) is not None
+            slots = SLOT.findall(line) if _MARK.search(line) else []
+            if not slots and not end:
+                return 0, 0
+            n = len(_WORD.findall(line))
+            if slots:
+                own = {x for x in slots if SURE.fullmatch(x) or m.slot(x) > 1.5}
+                if own and (n >= 5 or m.score(line) > margin):
+                    found.update(own)
+                    return 0, 1
+                return int(end and n >= 5), 0
+            return int(n >= 5 and m.score(line) <= margin), 0
+
         for batch in batches:
-            out = []
+            reasons = []
             for lines in batch.column(1).to_pylist():
-                story = residue = slotted = 0
+                story = slotted = 0
+                found: set[str] = set()
+                marked = any(map(_MARK.search, lines))
                 for line in lines:
                     s = known.get(line)
                     if s is None:
-                        n = len(_WORD.findall(line))
-                        slots = SLOT.findall(line)
-                        sentence = n >= 5 and _END.search(line) is not None
-                        score = m.score(line)
-                        doubtful = [x for x in slots if not SURE.fullmatch(x)]
-                        if slots and (len(doubtful) < len(slots) or score > margin) and (sentence or n >= 8 or score > margin):
-                            s = 2.0
-                        elif score > margin:
-                            s = 1.0
-                        else:
-                            s = 0.0 if sentence else -1.0
-                        if len(known) < 200_000:
+                        s = judge(line, found)
+                        if not s[1] and len(known) < 200_000 and len(line) < 200:
                             known[line] = s
-                    story += s == 0.0
-                    residue += s == 1.0
-                    slotted += s == 2.0
-                out.append((story, residue, slotted))
-            a = np.array(out, dtype=np.int64).reshape(-1, 3)
-            hit = (a[:, 0] == 0) | (a[:, 2] > a[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(a[:, i]) for i in range(3)), pa.array(hit)], names=["article_id", "n_story", "n_residue", "n_slotted", "is_residue"])
-
-    return prepared.select("article_id", "own").mapInArrow(run, "article_id bigint, n_story bigint, n_residue bigint, n_slotted bigint, is_residue boolean")
+                    story += s[0]
+                    slotted += s[1]
+                    if story and not marked:
+                        break
+                reasons.append("slots" if slotted > story or len(found) >= 2 and slotted * 4 >= story + slotted else None if story else "no story")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string()), pa.array([r is not None for r in reasons])], names=["article_id", "reason", "is_residue"])
+
+    return _with_own_lines(articles, furniture).select("article_id", "own").mapInArrow(run, "article_id bigint, reason string, is_residue boolean")
