@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 #: A word: one Han character, or an unbroken run of other letters and digits.
 WORD = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 
+#: Members of a character class: white space as Unicode has it, the same in every engine.
+SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 
 def words(text: Column | str) -> Column:
     """Lower-case words of a text, in order; an empty array for null."""
