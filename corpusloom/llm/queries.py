@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import boilerplate, language, leaks, lines, residue, tokens, truncation
+from corpusloom.llm import boilerplate, language, leaks, lines, neardup, residue, tokens, truncation
 from corpusloom.plans.shared import settle
 from corpusloom.sources.tables import table
 
@@ -39,6 +39,14 @@ def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_texts(table(spark, folder, "articles"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(residue.main_bodies(table(spark, folder, "articles")).select("article_id", "text"), n=3)
+
+
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.link_counts(residue.main_bodies(table(spark, folder, "articles")).select("article_id", "text"), n=3)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return lines.repeated_line_places(table(spark, folder, "articles"))
 
@@ -87,7 +95,7 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_articles, p1_segments, p2_found, p2_texts, p4_found, p4_texts, p6_found, p6_records, p7_article_tokens, p7_token_totals,
+        p1_found, p1_articles, p1_segments, p2_found, p2_texts, p3_found, p3_links, p4_found, p4_texts, p6_found, p6_records, p7_article_tokens, p7_token_totals,
         p8_ids, p9_found, p9_report, p10_found, p10_share,
     )
 }
