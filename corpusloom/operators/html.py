@@ -209,7 +209,7 @@ def crawl_records(seeds: DataFrame, fetched: DataFrame, k: int = 3) -> DataFrame
     order = W.partitionBy("seed_url").orderBy("src_file", "src_line")
     seeds = seeds.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     extracted = extract_pages(fetched.where(F.col("html").isNotNull()).select(F.col("url"), F.col("html")))
-    page = settle(fetched.drop("html").withColumn("has_html", fetched["html"].isNotNull()).join(extracted.withColumnRenamed("url", "u"), F.col("url") == F.col("u"), "left").drop("u"))
+    page = settle(fetched.withColumn("has_html", F.col("html").isNotNull()).drop("html").join(extracted.withColumnRenamed("url", "u"), F.col("url") == F.col("u"), "left").drop("u"))
     base = seeds.join(page, F.col("seed_url") == F.col("url"), "left")
     binary = is_binary_url("seed_url")
     final = F.coalesce("final_url", "seed_url")

@@ -21,7 +21,7 @@ def _name(df_meta: str = "_metadata.file_name") -> Column:
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """`url, country, keyword, file_prefix` of a seed list; lines that are empty, begin with # or =, or have less than four fields are skipped."""
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where((F.col("v") != "") & ~F.col("v").rlike("^[#=]"))
-    parts = lines.select(F.transform(F.split("v", r"\|"), F.trim).alias("p")).where(F.size("p") >= 4)
+    parts = lines.select(F.transform(F.split("v", r"\|"), lambda x: F.trim(x)).alias("p")).where(F.size("p") >= 4)
     return parts.select(*[F.col("p")[i].alias(c) for i, c in enumerate(("url", "country", "keyword", "file_prefix"))])
 
 
@@ -56,7 +56,7 @@ def read_articles_by_header(spark: SparkSession, path: str, header_lines: int =
     whole = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(_name().alias("file_name"), F.split("value", r"\r?\n").alias("l"))
     whole = whole.where(F.size("l") > header_lines)
     pair = F.transform(F.filter(F.slice("l", 1, header_lines), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))))
-    lines = F.filter(F.transform(F.slice(F.col("l"), header_lines + 1, F.size("l")), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.slice(F.col("l"), header_lines + 1, F.size("l")), lambda x: F.trim(x)), lambda x: x != "")
     body = whole.select("file_name", F.map_from_entries(pair).alias("h"), clean_text(F.array_join(lines, "\n")).alias("text")).where(F.length("text") >= least)
     stem = F.regexp_replace("file_name", r"\.txt$", "")
     url = F.coalesce(F.nullif(F.col("h")["final_url"], F.lit("")), F.col("h")["seed_url"])
