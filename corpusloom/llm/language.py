@@ -74,7 +74,7 @@ def fit(lines: list[tuple[str, str | None]], rounds: int = 6, trust: float = 0.6
     """Naive Bayes over words from lines with noisy labels, by expectation-maximisation.
 
     A line starts at its label with probability `trust` and spreads the rest over the languages its script allows; in each round
-    it gets the model's posterior, so foreign lines in a document move to their own language.
+    it gets the model's posterior (with the shares of the languages as prior), so foreign lines in a document move to their own language.
     """
     same: dict[tuple[str, ...], list[str | None]] = {}
     for t, lang in lines:
@@ -111,7 +111,7 @@ def fit(lines: list[tuple[str, str | None]], rounds: int = 6, trust: float = 0.6
         logs = np.log((mass + 0.05) / (mass.sum(axis=0) + 0.05 * len(kept)))
         s = np.zeros((len(rows), k))
         np.add.at(s, at, logs[what])
-        s = np.where(allowed, s, -1e9)
+        s = np.where(allowed, s + np.log(p.mean(axis=0) + 1e-9), -1e9)
         p = np.exp(np.clip((s - s.max(axis=1, keepdims=True)) * 0.7, -60, 0))
         p /= p.sum(axis=1, keepdims=True)
     mean = np.where(allow_word, logs, 0).sum(axis=1, keepdims=True) / np.maximum(1, allow_word.sum(axis=1, keepdims=True))
