@@ -39,6 +39,17 @@ def _shingles(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], s[keep]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], words: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Cuts batches into pieces of about `words` words, so that memory depends on the longest text only."""
+    for batch in batches:
+        offsets = batch.column(1).offsets.to_numpy()
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + words, side="right")) - 1)
+            yield batch.slice(at, min(to, len(batch)) - at)
+            at = to
+
+
 def _signatures(row: np.ndarray, token: np.ndarray, df: np.ndarray, hot: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Yields blocks of signatures: key, row, size of the row's set, ordinal, flags (1 small role, 2 tiny, 4 for smaller partners only).
 
@@ -100,7 +111,7 @@ def _signatures(row: np.ndarray, token: np.ndarray, df: np.ndarray, hot: int) ->
             yield sig, row[b], z[b], ordinal[b], flags
 
 
-def _pairs_of(sig, doc, z, c, flag, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_of(sig, doc, z, c, flag, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (smaller set first) of entries with one signature that lies in the prefixes this pair of sizes needs; weights, and the smaller size."""
     order = np.lexsort((doc, z, sig))
     sig, doc, z, c, flag = sig[order], doc[order], z[order], c[order], flag[order]
@@ -146,7 +157,7 @@ def similar_pairs(docs: DataFrame, doc_id: str = "article_id", text: str = "text
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), words(text).alias("w"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1_000_000):
             u, k = np.unique(_shingles(batch, n)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(k.astype(np.int32))], names=["h", "k"])
 
@@ -159,11 +170,11 @@ def similar_pairs(docs: DataFrame, doc_id: str = "article_id", text: str = "text
     order = np.argsort(h)
     common = spark.sparkContext.broadcast((h[order], table.column("k").to_numpy()[order].astype(np.int64)))
     volume = counts.agg(F.sum("k")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume // 1_000_000) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume // 400_000) + 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, freq = common.value
-        for batch in batches:
+        for batch in _slices(batches):
             row, token = _shingles(batch, n)
             if not len(row):
                 continue
@@ -210,7 +221,7 @@ def similar_pairs(docs: DataFrame, doc_id: str = "article_id", text: str = "text
     asked = maybe_broadcast(settle(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, token = _shingles(batch, n)
             small = (token >> np.uint64(32)).astype(np.uint32)
             cuts = np.searchsorted(row, np.arange(len(batch) + 1))
