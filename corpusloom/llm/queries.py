@@ -119,3 +119,11 @@ SQL["p4_texts"] = _KEYS + """
 SELECT a.article_id, CASE WHEN a.text IS NULL OR a.text = '' THEN a.text ELSE coalesce(s.text, '') END AS text FROM articles a LEFT JOIN (
   SELECT article_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM k LEFT JOIN f USING (source, key) WHERE f.key IS NULL GROUP BY article_id
 ) s USING (article_id)"""
+
+_GRAMS = r"[array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]"
+_WORDS = r"regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '(\p{{Han}})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+SQL["p9_found"] = f"""
+WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents)),
+i AS (SELECT DISTINCT item_id, unnest({_GRAMS}) AS g FROM (
+  SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format("question")} AS w FROM eval_items))
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"""
