@@ -139,13 +139,14 @@ def _pairs_of(sig, doc, z, c, flag, most: int = 1_000_000) -> Iterator[tuple[np.
         at = to
 
 
-def similar_pairs(docs: DataFrame, doc_id: str = "article_id", text: str = "text", n: int = 5, rare: int = 16, hot: int = 50_000, most_common: int = 8_000_000) -> DataFrame:
+def similar_pairs(docs: DataFrame, doc_id: str = "article_id", text: str = "text", n: int = 5, rare: int = 4, hot: int = 50_000, most_common: int = 8_000_000) -> DataFrame:
     """`a, b, overlap, size_a, size_b` (a < b): all pairs of different texts whose sets of n-word sequences have a Jaccard similarity of 0.5 or more.
 
     1. Count sequences; those in more than `rare` texts are common. They travel to all tasks if there are at most `most_common`; else
        `rare` is doubled until there are: lists get longer, the result stays the same.
     2. Each text sends signatures (see `_signatures`): single rare tokens, pairs of common ones, as many as a partner of half its
-       size asks for, and a sixteenth of its size more. Signatures are packed into one row per batch and bucket before the shuffle.
+       size asks for, and a sixteenth of its size more. Signatures are packed into one row per batch and bucket before the
+       shuffle, 32 bits each: what collides is sorted out by the next steps.
     3. In each bucket, pairs meet if the signature lies in the prefix that their two sizes need. Their shared signatures are
        counted over all buckets; a similar pair has more than a sixteenth of the smaller size.
     4. Those pairs are compared by their whole sets (32-bit fingerprints of sequences).
@@ -183,22 +184,31 @@ def similar_pairs(docs: DataFrame, doc_id: str = "article_id", text: str = "text
             ids = batch.column(0).to_numpy()
             parts = list(_signatures(row, token, df, hot))
             sig, r, z, c, f = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            bucket = (sig >> np.uint64(7)) % np.uint64(buckets)
+            bucket = (sig & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
             order = np.lexsort((r, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            cols = [sig[order], ids[r[order]], z[order].astype(np.int32), c[order].astype(np.int32), f[order].astype(np.int8)]
+            sig, r, z, c, f = sig[order], r[order], z[order], c[order], f[order]
+            wide = np.uint16 if int(c.max()) < 65536 else np.uint32
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
                 if hi > lo:
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x[lo:hi].tobytes()], pa.binary()) for x in cols)], names=["bucket", "sig", "id", "z", "c", "f"])
+                    first = np.flatnonzero(np.concatenate(([True], r[lo + 1 : hi] != r[lo : hi - 1])))
+                    each = np.diff(np.concatenate((first, [hi - lo]))).astype(np.uint32)
+                    cols = (ids[r[lo + first]], z[lo + first].astype(np.int32), each, (sig[lo:hi] >> np.uint64(32)).astype(np.uint32), c[lo:hi].astype(wide), f[lo:hi].astype(np.int8))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cols)], names=["bucket", "id", "z", "each", "sig", "c", "f"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unpack(r: dict) -> tuple[np.ndarray, ...]:
+            each, sig = np.frombuffer(r["each"], dtype=np.uint32), np.frombuffer(r["sig"], dtype=np.uint32)
+            c = np.frombuffer(r["c"], dtype=np.uint16 if len(r["c"]) == 2 * len(sig) else np.uint32)
+            return sig, np.repeat(np.frombuffer(r["id"], dtype=np.int64), each), np.repeat(np.frombuffer(r["z"], dtype=np.int32), each), c, np.frombuffer(r["f"], dtype=np.int8)
+
         held: dict[int, list] = {}
         for batch in batches:
             for rowd in batch.to_pylist():
                 held.setdefault(rowd["bucket"], []).append(rowd)
         for rows in held.values():
-            sig, doc, z, c, f = (np.concatenate([np.frombuffer(r[k], dtype=t) for r in rows]) for k, t in (("sig", np.uint64), ("id", np.int64), ("z", np.int32), ("c", np.int32), ("f", np.int8)))
+            sig, doc, z, c, f = (np.concatenate(x) for x in zip(*map(unpack, rows)))
             names, local = np.unique(doc, return_inverse=True)
             sizes = np.zeros(len(names), dtype=np.int64)
             sizes[local] = z
@@ -214,7 +224,7 @@ def similar_pairs(docs: DataFrame, doc_id: str = "article_id", text: str = "text
             a, b = u // len(names), u % len(names)
             yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(k), pa.array(np.minimum(sizes[a], sizes[b]).astype(np.int32))], names=["a", "b", "k", "z"])
 
-    schema = "bucket int, sig binary, id binary, z binary, c binary, f binary"
+    schema = "bucket int, id binary, z binary, each binary, sig binary, c binary, f binary"
     met = base.mapInArrow(sign, schema).repartition(buckets, "bucket").mapInArrow(meet, "a bigint, b bigint, k int, z int")
     likely = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("z").alias("z")).where(F.col("k") > F.floor(F.col("z") / 16)).select("a", "b")
     likely = settle(likely)
