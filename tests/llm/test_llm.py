@@ -127,7 +127,7 @@ def test_languages(spark):
 
 def test_residue(spark):
     story = "The council of {} met the delegation of the port on the road to the sea in May. Trade grew by nine per cent in the year after the talks ended."
-    rows = [(i, f"s{i % 4}", 200, "t", story.format("town" + chr(97 + i % 26) + chr(97 + i // 26)) + f"\nA second paragraph about case {chr(97 + i % 26)}{chr(97 + i // 26)} closes the report of the day." + "\nThe talks went on in the evening and the next morning, and both sides said they were content with what had been reached." * 2) for i in range(60)]
+    rows = [(i, f"s{i % 4}", 200, "t", story.format("town" + chr(97 + i % 26) + chr(97 + i // 26)) + f"\nA second paragraph about case {chr(97 + i % 26)}{chr(97 + i // 26)} closes the report of the day." + "".join(f"\nThe talks of {chr(97 + i % 26)}{chr(97 + i // 26)}{x} went on in the evening, and both sides said they were content with what had been reached." for x in "pqr")) for i in range(60)]
     rows += [(100 + i, f"s{i % 4}", 404, "t", "Page not found\nSorry, the page is gone.") for i in range(8)] + [(200, "s1", 200, "t", "Page not found\nSorry, the page is gone.")]
     rows += [(300, "s1", 200, "t", "In {{ year }}, {{ city }} signed a deal with {{ country }}.\nThe {{ org }} met {{ name }} in the city."), (301, "s1", 200, "t", None), (302, "s1", 200, "t", "")]
     got = {r.article_id for r in residue.judge_records(articles(spark, rows)).where("is_residue").collect()}
