@@ -21,14 +21,17 @@ def _base(articles: DataFrame) -> DataFrame:
     return articles.where(F.col("text") != "").select("article_id", source.alias("source"), F.split("text", "\n").alias("lines"))
 
 
-def repeated_lines(articles: DataFrame, least: int = 5, percent: int = 10) -> DataFrame:
+def repeated_lines(articles: DataFrame, least: int = 5, percent: int = 10, by_text: bool = False) -> DataFrame:
     """`source, line_hash, n_articles, of_articles`: lines in at least `least` articles of a source and `percent` % of those with text.
 
     Each article sends a line once, and counts combine before the shuffle, so neither a hot source nor a hot line gathers in a task.
+    With `by_text`, the articles of a source that hold the same lines count as one in both figures.
     """
-    base = _base(articles)
+    base = _base(articles).select("source", F.array_distinct(F.transform("lines", line_hash)).alias("hashes"))
+    if by_text:
+        base = settle(base.select("source", F.array_sort("hashes").alias("hashes")).distinct())
     total = base.groupBy("source").agg(F.count("*").alias("of_articles"))
-    each = base.select("source", F.explode(F.array_distinct(F.transform("lines", line_hash))).alias("line_hash"))
+    each = base.select("source", F.explode("hashes").alias("line_hash"))
     counts = each.where(F.col("line_hash").isNotNull()).groupBy("source", "line_hash").agg(F.count("*").alias("n_articles"))
     joined = counts.where(F.col("n_articles") >= least).join(total, "source")
     return joined.where(F.col("n_articles") * 100 >= F.col("of_articles") * percent).select("source", "line_hash", "n_articles", "of_articles")

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,19 +88,28 @@ def fit(trusted: list[str], unlabelled: list[str], rounds: int = 4, share: float
 
 
 def furniture_lines(articles: DataFrame, least: int = 5, percent: int = 3) -> DataFrame:
-    """The lines that articles of a source repeat (see `repeated_lines`), settled, for all steps that need them."""
-    return settle(repeated_lines(articles, least, percent))
+    """The lines that different texts of a source repeat (see `repeated_lines`), settled, for all steps that need them. Copies count
+    once, as the lines of an article that is stored often are no furniture."""
+    return settle(repeated_lines(articles, least, percent, by_text=True))
 
 
-def _with_own_lines(articles: DataFrame, furniture: DataFrame) -> DataFrame:
-    """`article_id, source, failed, own` of articles with text that are no directory pages; `own` holds the lines that aren't furniture."""
+def _with_marked_lines(articles: DataFrame, furniture: DataFrame) -> DataFrame:
+    """`article_id, source, failed, marked` of articles with text that are no directory pages; `marked` holds the lines that aren't
+    blank, each with whether it is furniture."""
     found = maybe_broadcast(settle(furniture.groupBy("source").agg(F.collect_set("line_hash").alias("furniture"))), 20_000)
     failed = (F.coalesce(F.col("http_status"), F.lit(0)) >= 400) | F.coalesce(F.lower("via").rlike("fail|none"), F.lit(False))
     base = articles.where((F.col("text") != "") & ~F.coalesce(F.col("is_directory"), F.lit(False))).select(
         "article_id", F.coalesce(source_of("src_file"), F.lit(NO_SOURCE)).alias("source"), F.split("text", "\n").alias("lines"), failed.alias("failed")
     )
-    own = F.filter("lines", lambda x: (F.trim(x) != "") & ~F.coalesce(F.array_contains("furniture", line_hash(x)), F.lit(False)))
-    return base.join(found, "source", "left").select("article_id", "source", "failed", own.alias("own"))
+    dropped = lambda x: F.coalesce(F.array_contains("furniture", line_hash(x)), F.lit(False))
+    marked = F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.struct(x.alias("line"), dropped(x).alias("dropped")))
+    return base.join(found, "source", "left").select("article_id", "source", "failed", marked.alias("marked"))
+
+
+def _with_own_lines(articles: DataFrame, furniture: DataFrame) -> DataFrame:
+    """`article_id, source, failed, own`: as `_with_marked_lines`; `own` holds the lines that aren't furniture."""
+    own = F.transform(F.filter("marked", lambda x: ~x["dropped"]), lambda x: x["line"])
+    return _with_marked_lines(articles, furniture).select("article_id", "source", "failed", own.alias("own"))
 
 
 def train(articles: DataFrame, furniture: DataFrame, most_records: int = 20_000, short: int = 60, line: int = 30) -> Model:
@@ -142,7 +152,8 @@ def judge_records(articles: DataFrame, furniture: DataFrame | None = None, margi
     Lines that a source repeats (`furniture_lines`) are set apart. A story passage is a line of at least five words that ends as a
     sentence, has no open slots, and that the model doesn't take for residue. A record is residue if it has no story passage, if more of
     its passages have open slots than are story, or if a quarter has, with two different slots. Reading stops at the first story passage where the text has no slots at all, as
-    the verdict can't change. Null and empty texts, directory pages: no row. Every article is judged on its whole text.
+    the verdict can't change. Where all lines of a text are set apart, as in near copies that a source repeats, these
+    are judged: the record is no residue if more of them are story than residue. Null and empty texts, directory pages: no row. Every article is judged on its whole text.
     """
     if furniture is None:
         furniture = furniture_lines(articles)
@@ -169,7 +180,13 @@ def judge_records(articles: DataFrame, furniture: DataFrame | None = None, margi
 
         for batch in batches:
             reasons = []
-            for lines in batch.column(1).to_pylist():
+            lists = batch.column(1)
+            flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            every, dropped = flat.field("line"), flat.field("dropped")
+            mine = every.filter(pc.invert(dropped)).to_pylist()
+            ends = np.concatenate(([0], np.cumsum(~dropped.to_numpy(zero_copy_only=False).astype(bool))))[at]
+            for i in range(len(lists)):
+                lines = mine[ends[i] : ends[i + 1]]
                 story = slotted = 0
                 found: set[str] = set()
                 marked = any(map(_MARK.search, lines))
@@ -183,7 +200,11 @@ def judge_records(articles: DataFrame, furniture: DataFrame | None = None, margi
                     slotted += s[1]
                     if story and not marked:
                         break
+                if not lines:
+                    rest = every[at[i] : at[i + 1]].to_pylist()
+                    told = sum(judge(x, set())[0] for x in rest)
+                    story = int(told > sum(m.score(x) > margin for x in rest))
                 reasons.append("slots" if slotted > story or len(found) >= 2 and slotted * 4 >= story + slotted else None if story else "no story")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string()), pa.array([r is not None for r in reasons])], names=["article_id", "reason", "is_residue"])
 
-    return _with_own_lines(articles, furniture).select("article_id", "own").mapInArrow(run, "article_id bigint, reason string, is_residue boolean")
+    return _with_marked_lines(articles, furniture).select("article_id", "marked").mapInArrow(run, "article_id bigint, reason string, is_residue boolean")

@@ -134,6 +134,18 @@ def test_residue(spark):
     assert got == {*range(100, 108), 200, 300}
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_residue_keeps_copies(spark, near):
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    story = lambda x: "\n".join(f"The {w} of {x} met the delegation of the port on the road to the sea, and both sides said that they were content with what had been reached." for w in ("council", "ministry", "chamber", "guild"))
+    rows = [(i, "s", 200, "t", "Home of the site\n" + story("town" + name(i))) for i in range(60)]
+    # near copies leave out one of the lines, so that each line stands in many different texts
+    rows += [(100 + i, "s", 200, "t", "Home of the site\n" + "\n".join(x for j, x in enumerate(story("copyham").split("\n") + [f"{w.title()} talks on the copyham road ended well for all sides." for w in ("rail", "sea", "air")]) if not near or j != i % 7)) for i in range(35)]
+    rows += [(200 + i, f"e{i % 3}", 404, "t", "Page not found\nSorry, the page is gone.") for i in range(8)]
+    got = {r.article_id for r in residue.judge_records(articles(spark, rows)).where("is_residue").collect()}
+    assert got == {*range(200, 208)}
+
+
 def test_boilerplate():
     pages = [["Home | News | About", f"Headline of story {chr(97 + i)} in the town", f"Paragraph {chr(97 + i)} says something of its own at some length today.", "", "Latest", "1. Some other story here now", "Another story is told there", f"Views: {i}"] for i in range(20)]
     kinds = boilerplate.page_furniture(pages, [""] * 20)
