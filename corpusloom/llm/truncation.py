@@ -142,8 +142,8 @@ def judge_endings(documents: DataFrame, factor: float = 5.0) -> DataFrame:
     up, in characters or bytes, without a sentence end), `open` (it stops at a comma, an opening mark or other open sign), `word`
     (its last word is no word of the corpus), `sentence` (the corpus goes on after such words).
 
-    Texts of 120 characters or more without any sentence end are judged by their length only. Ends with a sentence end, links, and lines without letters or in brackets are whole. Other ends are compared with all lines
-    of all documents: a line of that shape, or the last three words (names and numbers masked), must end lines at least `factor`
+    Ends with a sentence end, links, and lines without letters or in brackets are whole. Other ends, of texts without any sentence
+    end too, are compared with all lines of all documents: a line of that shape, or the last three words (names and numbers masked), must end lines at least `factor`
     times as often as cuts at random would make it. Every text counts in full; the counts grow with the different word sequences.
     Null, empty and blank texts: no row. Documents that share an id are judged as rows of their own.
     """
@@ -160,10 +160,8 @@ def judge_endings(documents: DataFrame, factor: float = 5.0) -> DataFrame:
         | F.col("line").rlike(r"^[\[(].*[\])]$")
         | F.col("line").rlike(r"^(?:https?://|www\.)[^\s/]+\.[^\s/.]{2,}(?:/\S*)?$")
     )
-    # a text that never ends a sentence with a mark can't show by a mark where it ends
-    whole = whole | (~F.col("marked") & (F.col("n_chars") >= 120))
     open_ = F.col("line").rlike(rf"[^\p{{L}}\p{{M}}\p{{N}}.!?。！？%°€$№\"'”’»)\]』」›*_]$")
-    base = docs.select("row", "doc_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), line.alias("line"), F.col("text").rlike(r"[.!?。！？…]").alias("marked"))
+    base = docs.select("row", "doc_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), line.alias("line"))
     base = base.withColumn("reason", tail).withColumn("done", F.col("reason").isNull() & whole)
     base = base.withColumn("reason", F.coalesce("reason", F.when(~F.col("done") & open_, "open")))
     base = settle(base.withColumn("line", F.when(F.col("reason").isNull() & ~F.col("done"), F.col("line"))))

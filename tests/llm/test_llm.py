@@ -172,6 +172,18 @@ def test_truncation(spark):
     assert (share.n_documents, share.n_truncated) == (46, 4)
 
 
+def test_truncation_within_first_sentence(spark):
+    start = "The delegation of the town of Abel met the council of the port and the guild of the road and they agreed to the plan of the sea and the land"
+    texts = [(i, "s", f"{start} number {i} and more.\nThey will go on with it later.") for i in range(40)]
+    texts += [(100, "s", start + " and the"), (101, "s", start + " and the lan"), (102, "s", start + ",")]
+    # a field limit: twelve different texts of 150 characters, the last words of which end lines elsewhere
+    texts += [(200 + i, "f", (f"{start} {'abcdefghijkl'[i]}".ljust(138, "x") + " " + "go on later")[:150].ljust(150, "r")) for i in range(12)]
+    texts += [(300 + i, "g", "They go on\nNext steps\n" + "and then on " * 10 + "\nNext steps") for i in range(3)]
+    df = spark.createDataFrame(texts, "doc_id bigint, source string, text string")
+    got = {r.doc_id: r.reason for r in truncation.judge_endings(df).where("reason is not null").collect()}
+    assert set(got) == {100, 101, 102, *range(200, 212)} and got[200] == "spike" and got[102] == "open"
+
+
 def test_length_spikes(spark):
     rows = [("s", "chars", 100)] * 30 + [("s", "chars", n) for n in range(40, 160)]
     assert [r.spike for r in truncation.length_spikes(spark.createDataFrame(rows, "source string, unit string, n int")).collect()] == [100]
