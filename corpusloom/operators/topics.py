@@ -1,5 +1,8 @@
 """Topic models by group, with Spark ML, and their coherence."""
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
@@ -61,3 +64,9 @@ def coherence(toks: DataFrame, topics: DataFrame, window: int = 110) -> DataFram
     whole = npmi.groupBy("topic_id", "b").agg(F.sum("v").alias("s"))
     cos = npmi.join(whole, ["topic_id", "b"]).groupBy("topic_id", "a").agg((F.sum(F.col("v") * F.col("s")) / (F.sqrt(F.sum(F.col("v") * F.col("v"))) * F.sqrt(F.sum(F.col("s") * F.col("s"))))).alias("c"))
     return cos.groupBy("topic_id").agg(F.round(F.avg("c"), 4).alias("c_v"))
+
+
+def by_group(toks: DataFrame, groups: list[str | None], rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`group` and the columns of `rows_of`, which gets the documents of each of the groups in turn."""
+    parts = [rows_of(toks.where(F.col("group").eqNullSafe(F.lit(g)))).select(F.lit(g).cast("string").alias("group"), "*") for g in groups]
+    return reduce(DataFrame.unionByName, parts)

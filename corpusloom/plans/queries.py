@@ -388,15 +388,21 @@ def page_links_ranked(spark, folder):
     return html.article_links(pages).where("rank = 1").select("link", "score", "rank", "url")
 
 
+def _topics(spark, folder, rows_of: Callable[[DataFrame], DataFrame], columns: str) -> DataFrame:
+    """`rows_of` for each group that `route_methods` sends to topic modelling."""
+    toks = _tokens(spark, folder)
+    groups = sorted((r["group"] for r in stats.route_methods(toks).where("method = 'lda'").collect()), key=lambda g: (g is not None, g))
+    return topics.by_group(toks, groups, rows_of) if groups else spark.createDataFrame([], f"`group` string, {columns}")
+
+
 @query()
 def lda_topics(spark, folder):
-    return topics.topic_words(_tokens(spark, folder).where(F.col("group") == "corridor_daily"))
+    return _topics(spark, folder, topics.topic_words, "topic_id int, rank int, word string, prob double")
 
 
 @query()
 def lda_coherence(spark, folder):
-    toks = _tokens(spark, folder).where(F.col("group") == "corridor_daily")
-    return topics.coherence(toks, topics.topic_words(toks))
+    return _topics(spark, folder, lambda toks: topics.coherence(toks, topics.topic_words(toks)), "topic_id int, c_v double")
 
 
 @query(f"""WITH {_TOK}, u AS (SELECT "group", count(*) AS u FROM term GROUP BY "group") SELECT tok."group", CASE WHEN count(*) >= 10 THEN 'lda' ELSE 'statistical' END AS method,

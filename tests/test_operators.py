@@ -106,6 +106,15 @@ def test_topics(spark):
     assert all(-1 <= r.c_v <= 1.0001 for r in topics.coherence(toks(spark, rows), t).collect())
 
 
+def test_topics_of_each_group(spark, tmp_path):
+    from corpusloom.plans.queries import QUERIES
+
+    rows = [(100 * g + i, "rail port road " * 3 if i % 2 else "tax law court " * 3, name) for g, (name, n) in enumerate([("a", 12), ("b", 10), ("c", 9)]) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.group for r in QUERIES["lda_topics"](spark, str(tmp_path)).collect()} == {"a", "b"}
+    assert {(r.group, r.topic_id) for r in QUERIES["lda_coherence"](spark, str(tmp_path)).collect()} == {(g, k) for g in "ab" for k in range(5)}
+
+
 SITES = [("u", "c", "k", "a", "Europe/Belgrade", "dmy"), ("u", "c", "k", "b", "America/Panama", "mdy"), ("u", "c", "k", "z", None, "dmy")]
 CASES = [
     ("a", "17 May 2021", "2021-05-17"), ("a", "03/02/21", "2021-02-03"), ("b", "03/02/21", "2021-03-02"), ("a", "31/02/2022", None), ("a", "2 hours ago", None), ("a", None, None), ("a", "", None),
