@@ -159,13 +159,14 @@ def viterbi(scores: np.ndarray, codes: np.ndarray, sizes: np.ndarray, new_line:
     return path
 
 
-def label_lines(articles: DataFrame, model: WordModel, in_line: float = 8.0, at_line: float = 3.0) -> DataFrame:
+def label_lines(articles: DataFrame, model: WordModel, in_line: float = 8.0, at_line: float = 3.0, spans: bool = False) -> DataFrame:
     """One row for each line with words: `article_id, line_no, lang, confidence, n_words, weight, main`.
 
     Line 0 is the title, judged by its own words; lines of the text count from 1 and get the language most of their words have
     on the Viterbi path. `confidence` is the posterior of the language for the line's words. `weight` is the line's amount of
     text (letters; a Han character counts 2.5); `main` is the language with the most weight in the text, the same in all rows of an
-    article. Null texts and titles are empty. Articles without words give no row.
+    article. With `spans` there is one row for each run of words of one language on the path within a line instead (in titles too, each a path
+    of its own), and `first_word, last_word` say which words of the line it holds, from 1. Null texts and titles are empty. Articles without words give no row.
     """
     shared = articles.sparkSession.sparkContext.broadcast(model)
     k = len(LANGUAGES)
@@ -192,31 +193,38 @@ def label_lines(articles: DataFrame, model: WordModel, in_line: float = 8.0, at_
             text = line > 0
             path = np.zeros(len(codes), dtype=np.int64)
             path[text] = viterbi(table, codes[text], np.bincount(doc[text], minlength=len(lists)), new[text], in_line, at_line)
-            unit = np.cumsum(new) - 1
+            cut = new
+            if spans:
+                path[~text] = viterbi(table, codes[~text], np.bincount(doc[~text], minlength=len(lists)), new[~text], in_line, at_line)
+                cut = new | np.concatenate(([True], path[1:] != path[:-1]))
+            place = np.arange(len(codes)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            unit = np.cumsum(cut) - 1
             n_units = int(unit[-1]) + 1
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(cut)
             total = np.zeros((n_units, k))
             for j in range(k):
                 total[:, j] = np.bincount(unit, weights=table[codes, j], minlength=n_units)
             votes = np.bincount(unit * k + path, minlength=n_units * k).reshape(n_units, k)
-            lang = np.where(line[first] > 0, votes.argmax(axis=1), total.argmax(axis=1))
+            lang = np.where((line[first] > 0) | spans, votes.argmax(axis=1), total.argmax(axis=1))
             e = np.exp(np.clip(total - total.max(axis=1, keepdims=True), -50, 0))
             conf = e[np.arange(n_units), lang] / e.sum(axis=1)
             weight = np.bincount(unit, weights=amount[codes], minlength=n_units)
             mass = np.bincount(doc[text] * k + path[text], weights=amount[codes[text]], minlength=len(lists) * k).reshape(-1, k)
             main = np.where(mass.max(axis=1) > 0, mass.argmax(axis=1), -1)
             names = np.array([*LANGUAGES, None], dtype=object)
+            size = np.bincount(unit, minlength=n_units)
+            where = [pa.array((place[first] + 1).astype(np.int32)), pa.array((place[first] + size).astype(np.int32))] if spans else []
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(doc[first])), pa.array(line[first].astype(np.int32)), pa.array(names[lang], pa.string()), pa.array(np.round(conf, 6)),
-                    pa.array(np.bincount(unit, minlength=n_units).astype(np.int32)), pa.array(weight), pa.array(names[main[doc[first]]], pa.string()),
+                    pa.array(size.astype(np.int32)), pa.array(weight), pa.array(names[main[doc[first]]], pa.string()), *where,
                 ],
-                names=["article_id", "line_no", "lang", "confidence", "n_words", "weight", "main"],
+                names=["article_id", "line_no", "lang", "confidence", "n_words", "weight", "main", *(["first_word", "last_word"] if spans else [])],
             )
 
     title = F.translate(F.coalesce("title", F.lit("")), "\n\r", "  ")
     tokens = F.regexp_extract_all(F.lower(F.concat(title, F.lit("\n"), F.coalesce("text", F.lit("")))), F.lit(rf"{WORD}|\n"), F.lit(0))
-    return articles.select("article_id", tokens.alias("w")).mapInArrow(run, "article_id bigint, line_no int, lang string, confidence double, n_words int, weight double, main string")
+    return articles.select("article_id", tokens.alias("w")).mapInArrow(run, "article_id bigint, line_no int, lang string, confidence double, n_words int, weight double, main string" + (", first_word int, last_word int" if spans else ""))
 
 
 def article_languages(lines: DataFrame) -> DataFrame:
@@ -239,6 +247,19 @@ def segments(lines: DataFrame) -> DataFrame:
     ).drop("run")
 
 
+def word_segments(spans: DataFrame) -> DataFrame:
+    """`article_id, first_line, first_word, last_line, last_word, lang, confidence, n_words` from `label_lines` with `spans`: runs of words of
+    one language, which begin and end anywhere in a line; no run goes from the title into the text. One article's spans are one window group."""
+    by = W.partitionBy("article_id").orderBy("line_no", "first_word")
+    change = ((F.col("lang") != F.lag("lang").over(by)) | ((F.lag("line_no").over(by) == 0) & (F.col("line_no") > 0))).cast("int")
+    runs = spans.withColumn("run", F.sum(F.coalesce(change, F.lit(0))).over(by))
+    found = runs.groupBy("article_id", "run").agg(
+        F.min(F.struct("line_no", "first_word")).alias("a"), F.max(F.struct("line_no", "last_word")).alias("b"), F.first("lang").alias("lang"),
+        F.round(F.sum(F.col("confidence") * F.col("weight")) / F.sum("weight"), 6).alias("confidence"), F.sum("n_words").alias("n_words"),
+    )
+    return found.select("article_id", F.col("a.line_no").alias("first_line"), "a.first_word", F.col("b.line_no").alias("last_line"), "b.last_word", "lang", "confidence", "n_words")
+
+
 def label_faults(lines: DataFrame, labels: DataFrame, least_line: int = 15, least_title: int = 5) -> DataFrame:
     """`article_id, line_no, lang`: line 0 with the main language where the label is missing, names none of the languages or another
     than the main one; each line of at least `least_line` words in another language; line -1 for a title of at least `least_title` words in another."""

@@ -26,7 +26,8 @@ def p1_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return language.segments(_language_lines(spark, folder, False))
+    articles, labels = table(spark, folder, "articles"), table(spark, folder, "article_labels")
+    return language.word_segments(language.label_lines(articles, language.train(articles, labels), spans=True))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

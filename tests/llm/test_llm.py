@@ -125,6 +125,23 @@ def test_languages(spark):
     assert language.segments(found).where("article_id = 50").count() == 2
 
 
+def test_segments_within_a_line(spark, tmp_path):
+    from corpusloom.llm.queries import p1_segments
+
+    rng = random.Random(6)
+    say = lambda words, n: " ".join(rng.choice(words.split()) for _ in range(n))
+    english, french = "the of and road port was in to ministry said that spring ready with from", "le de et route port la dans ministère dit que printemps les travaux avec du"
+    rows = [(i, "a", 200, None, "\n".join(say(english if i < 20 else french, 22) for _ in range(4))) for i in range(40)]
+    rows += [(50, "a", 200, say(english, 9), say(english, 30) + " " + say(french, 14) + " " + say(english, 30) + "\n" + say(english, 22))]
+    articles(spark, rows).coalesce(1).write.parquet(str(tmp_path / "articles.parquet"))
+    labels = spark.createDataFrame([(i, "en" if i < 20 else "fr") for i in range(40)], "article_id bigint, lang_label string").selectExpr("*", "timestamp'2024-01-01 00:00:00' AS labelled_at")
+    labels.coalesce(1).write.parquet(str(tmp_path / "article_labels.parquet"))
+    got = p1_segments(spark, str(tmp_path)).where("article_id = 50").orderBy("first_line", "first_word").collect()
+    assert [(r.first_line, r.last_line, r.lang) for r in got] == [(0, 0, "en"), (1, 1, "en"), (1, 1, "fr"), (1, 2, "en")]
+    assert abs(got[2].first_word - 31) <= 2 and abs(got[2].last_word - 44) <= 2
+    assert [r.first_word for r in got[:2]] == [1, 1] and got[3].last_word == 22 and sum(r.n_words for r in got[1:]) == 96
+
+
 def test_residue(spark):
     story = "The council of {} met the delegation of the port on the road to the sea in May. Trade grew by nine per cent in the year after the talks ended."
     rows = [(i, f"s{i % 4}", 200, "t", story.format("town" + chr(97 + i % 26) + chr(97 + i // 26)) + f"\nA second paragraph about case {chr(97 + i % 26)}{chr(97 + i // 26)} closes the report of the day." + "".join(f"\nThe talks of {chr(97 + i % 26)}{chr(97 + i // 26)}{x} went on in the evening, and both sides said they were content with what had been reached." for x in "pqr")) for i in range(60)]
