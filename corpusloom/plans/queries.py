@@ -270,6 +270,29 @@ def extraction_totals(spark, folder):
     return extract.extraction_totals(*_relations(spark, folder))
 
 
+def _all_relations(spark, folder):
+    """As `_relations`, persons included; SQL has no lookahead for their pattern, so the queries on it have none."""
+    docs = table(spark, folder, "documents")
+    ents = _entities(spark, folder)
+    acts = extract.actions(docs, verbs_en=ACTIONS_HERE, verbs_zh=_HERE_ZH)
+    return ents, acts, extract.relations(docs, ents, acts)
+
+
+@query()
+def entity_top20_all(spark, folder):
+    return extract.top_entities(_entities(spark, folder))
+
+
+@query()
+def relations_all(spark, folder):
+    return _all_relations(spark, folder)[2]
+
+
+@query()
+def extraction_totals_all(spark, folder):
+    return extract.extraction_totals(*_all_relations(spark, folder))
+
+
 @query(f"""WITH {_entity_sql()} SELECT entity_type, entity, country AS "group", count(*) AS cnt FROM ent JOIN documents USING (doc_id) WHERE entity_type = 'countries' GROUP BY ALL""")
 def country_actants(spark, folder):
     groups = table(spark, folder, "documents").select("doc_id", F.col("country").alias("group"))

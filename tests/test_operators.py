@@ -57,6 +57,32 @@ def test_entity_rules(spark):
     assert not any(e == "UN" for _, _, e in got) and (2, "countries", "中国") in got and (2, "countries", "南非") not in got
 
 
+def test_all_entity_types_against_brute_force(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    from corpusloom import lexicons as lex
+    from corpusloom.plans.queries import _HERE_ZH, QUERIES
+
+    texts = ["王毅在北京同代表团讨论合作事项。张伟 和王毅都表示双方愿意继续推进合作。", "李娜 在贸易会议上同中国代表团讨论贸易往来。天气很好没有别的事情可说。"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    surname = re.compile("(?:" + "|".join(dict.fromkeys(lex.SURNAMES_ZH)) + r")[\u4e00-\u9fff]{1,2}(?![^\u4e00-\u9fff\s])")
+    want, people = Counter(), Counter()
+    for d, text in enumerate(texts):
+        own = {p for p in [*(p for p in lex.PERSONS_ZH if p in text), *surname.findall(text)] if p not in lex.INVALID_ENTITIES}
+        people.update(own)
+        parts = [s for s in text.split("。") if len(s) >= 10]
+        acts = Counter((k, next(v for v in verbs if v in s)) for s in parts for k, verbs in _HERE_ZH.items() if any(v in s for v in verbs))
+        want.update({(d, i, p, k, v, n): 1 for i, s in enumerate(parts) for p in own if p in s for (k, v), n in acts.items() if v in s})
+    run = {k: QUERIES[k](spark, str(tmp_path)).collect() for k in ("entity_top20_all", "relations_all", "extraction_totals_all", "entities", "relations", "extraction_totals")}
+    got = Counter((r.doc_id, r.sent_no, r.actant, r.action, r.keyword, r.n) for r in run["relations_all"] if r.actant_type == "persons")
+    assert got == want and want
+    assert {r.entity: r.cnt for r in run["entity_top20_all"] if r.entity_type == "persons"} == people
+    total, less = run["extraction_totals_all"][0], run["extraction_totals"][0]
+    assert total.entities == len(run["entities"]) + sum(people.values()) and total.actions == less.actions
+    assert total.relations == less.relations + sum(k[-1] for k in want.elements())
+
+
 PAGE = """<html><head><title>T</title><meta name="date" content=" 2024-05-01 "></head><body><nav><a href="/n">x</a></nav>
 <h1>Head <b>line</b></h1><div class="content"><p>{}</p><p>Next</p><a href="/news/2024/5/1/a-12345.html">a</a><a href="b?page=2#f">b</a><a href="mailto:x@y.z">m</a></div>
 <script>var a = '</p>';</script></body></html>""".format("word " * 80)
