@@ -41,11 +41,11 @@ def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.near_duplicates(residue.main_bodies(table(spark, folder, "articles")).select("article_id", "text"), n=3)
+    return neardup.near_duplicates(residue.main_bodies(table(spark, folder, "articles")).select("article_id", "text"), n=3, similarity=0.5)
 
 
 def p3_links(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.link_counts(residue.main_bodies(table(spark, folder, "articles")).select("article_id", "text"), n=3)
+    return neardup.link_counts(residue.main_bodies(table(spark, folder, "articles")).select("article_id", "text"), n=3, similarity=0.5)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

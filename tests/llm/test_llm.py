@@ -81,8 +81,8 @@ def test_block_max_wand_finds_all():
             assert f in index.retrieve(index.fields[f][2][start : start + 13].tolist())
 
 
-@pytest.mark.parametrize("n", [3, 5])
-def test_near_duplicates_against_brute_force(spark, n):
+@pytest.mark.parametrize("n, similarity", [(3, 0.5), (5, 0.5), (3, 0.8)])
+def test_near_duplicates_against_brute_force(spark, n, similarity):
     rng = random.Random(n)
     frame = [f"f{i}" for i in range(40)]
     texts = []
@@ -101,12 +101,15 @@ def test_near_duplicates_against_brute_force(spark, n):
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
     sets = [grams(t) for t in texts]
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and len(sets[i] & sets[j]) * 2 >= len(sets[i] | sets[j])}
-    got = [tuple(r) for r in neardup.near_duplicates(df, n=n).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
-    links = {r.article_id: (r.class_id, r.n_links) for r in neardup.link_counts(df, n=n).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+    got = [tuple(r) for r in neardup.near_duplicates(df, n=n, similarity=similarity, salt=1).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > (30 if similarity < 0.8 else 5)
+    links = {r.article_id: (r.class_id, r.n_links) for r in neardup.link_counts(df, n=n, similarity=similarity).collect()}
     assert links[len(texts) - 1][0] == len(texts) - 3 and len(links) == len(texts) - 1
-    assert set(map(tuple, neardup.similar_pairs(df.where("text is not null").dropDuplicates(["text"]), n=n, rare=1, hot=3, most_common=10).select("a", "b").collect())) <= want
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    different = df.where(F.col("article_id").isin(sorted(first.values())))
+    split = neardup.similar_pairs(different, n=n, similarity=similarity, rare=1, hot=3, per_bucket=500)
+    assert set(map(tuple, split.select("a", "b").collect())) == {(i, j) for i, j in want if texts[i] != texts[j] and first[texts[i]] == i and first[texts[j]] == j}
 
 
 def test_languages(spark):
