@@ -12,14 +12,17 @@ _TOP = 0x32400
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: 0 no part of a word, 1 letter or digit, 2 Han; and a random number."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: 0 no part of a word, 1 letter or digit, 2 Han; whether it is a letter; and a random number."""
     every = "".join(map(chr, range(_TOP))).encode("utf-32-le", "surrogatepass").decode("utf-32-le", "surrogatepass")
     kind = np.zeros(_TOP + 1, dtype=np.int8)
     for mark, pattern in ((1, r"[\p{L}\p{N}]+"), (2, r"\p{Han}+")):
         for m in regex.finditer(pattern, every):
             kind[m.start() : m.end()] = mark
-    return kind, mixed(np.arange(_TOP + 1, dtype=np.uint64))
+    letter = np.zeros(_TOP + 1, dtype=bool)
+    for m in regex.finditer(r"\p{L}+", every):
+        letter[m.start() : m.end()] = True
+    return kind, letter, mixed(np.arange(_TOP + 1, dtype=np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word of the texts in lower case, in order, and where each text's words begin (one entry more than texts).
     A word is a Han character or an unbroken run of other letters and digits; null has none."""
-    kinds, numbers = _tables()
+    kinds, _, numbers = _tables()
     low = [t.lower() if t else "" for t in texts]
     sizes = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -57,6 +60,28 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return mixed(np.add.reduceat(numbers[code[at]] * weight[place], starts)), bounds
 
 
+def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each line's letters in lower case (0 for a line without letters), and where each text's lines begin (one entry
+    more than texts). A null or empty text has one empty line."""
+    _, letters, numbers = _tables()
+    low = [t.lower() if t else "" for t in texts]
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter((t.count("\n") + 1 for t in low), dtype=np.int64, count=len(low)))))
+    code = np.minimum(np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _TOP)
+    breaks = np.flatnonzero(code == 10)
+    at = np.flatnonzero(letters[code])
+    out = np.zeros(int(bounds[-1]), dtype=np.uint64)
+    if not len(at):
+        return out, bounds
+    starts = np.searchsorted(at, np.concatenate(([0], breaks + 1)))
+    length = np.diff(np.concatenate((starts, [len(at)])))
+    full = length > 0
+    place = np.arange(len(at)) - np.repeat(starts, length)
+    with np.errstate(over="ignore"):
+        weight = mixed(np.arange(int(length.max()), dtype=np.uint64)) | np.uint64(1)
+        out[full] = mixed(np.add.reduceat(numbers[code[at]] * weight[place], starts[full])) | np.uint64(1)
+    return out, bounds
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int):
     """Cuts a batch into pieces of about `most` bytes of text, so that memory depends on the longest text only."""
     texts = batch.column(column)

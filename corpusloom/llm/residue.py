@@ -6,13 +6,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import WORD, letters_key, source_of
-from corpusloom.llm.lines import NO_SOURCE, line_hash, repeated_lines
+from corpusloom.functions.text import source_of
+from corpusloom.llm.codes import line_hashes, mixed, slices, word_hashes
+from corpusloom.llm.lines import NO_SOURCE
 from corpusloom.plans.shared import maybe_broadcast, settle
 
 #: Open slots whose syntax leaves no doubt, and those that might be an editor's brackets.
@@ -23,7 +24,7 @@ SURE, SLOT = regex.compile(_SURE), regex.compile(f"{_SURE}|{_DOUBT}")
 _HINT = r"[{}<%#@\[&]|undefined|NaN|null|None|YYYY|XX|TB[AD]|____"
 _MARK = re.compile(_HINT)
 #: Filler that is known as such.
-FILLER = regex.compile(r"dolor sit amet|\basdf\b|\bqwerty\b|(?<!\w)x{3,}(?!\w)|\b(?:test )+test\b|placeholder text|sample text", regex.I)
+FILLER = re.compile(r"dolor sit amet|\blorem\b|\basdf\b|\bqwerty\b|(?<!\w)x{4,}(?!\w)", re.I)
 _WORD = regex.compile(r"\p{Han}|[\p{L}\p{N}--\p{Han}]+", regex.V1)
 _END = regex.compile(r"[.!?。！？…:：][\"'”’»)\]」』]*$")
 
@@ -56,7 +57,7 @@ class Model:
         return self.prior + sum(self.odds.get(w, 0.0) for w in seen) * min(1.0, self.most / len(seen)) if seen else self.prior
 
 
-def fit(trusted: list[str], unlabelled: list[str], rounds: int = 4, share: float = 0.02, most_words: int = 50_000) -> Model:
+def fit(trusted: list[str], unlabelled: list[str], rounds: int = 4, share: float = 0.02) -> Model:
     """Positive-unlabelled naive Bayes by expectation-maximisation: trusted passages stay positive, the others start at `share`
     and get their posterior in each round. Repeated passages count once, so that furniture doesn't outweigh."""
     trusted, own = list(dict.fromkeys(trusted)), set(trusted)
@@ -64,11 +65,7 @@ def fit(trusted: list[str], unlabelled: list[str], rounds: int = 4, share: float
     if not trusted or not unlabelled:
         return Model()
     rows = [set(features(x)) for x in trusted + unlabelled]
-    count: dict[str, int] = {}
-    for r in rows:
-        for w in r:
-            count[w] = count.get(w, 0) + 1
-    vocab = {w: i for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w))[:most_words])}
+    vocab = {w: i for i, w in enumerate(sorted(set().union(*rows)))}
     at = np.array([i for i, r in enumerate(rows) for w in r if w in vocab], dtype=np.int64)
     what = np.array([vocab[w] for r in rows for w in r if w in vocab], dtype=np.int64)
     size = np.bincount(at, minlength=len(rows))
@@ -88,43 +85,99 @@ def fit(trusted: list[str], unlabelled: list[str], rounds: int = 4, share: float
 
 
 def furniture_lines(articles: DataFrame, least: int = 5, percent: int = 3) -> DataFrame:
-    """The lines that different texts of a source repeat (see `repeated_lines`), settled, for all steps that need them. Copies count
-    once, as the lines of an article that is stored often are no furniture."""
-    return settle(repeated_lines(articles, least, percent, by_text=True))
+    """`source, line_hash, n_articles, of_articles`, settled: the lines that `least` different texts of a source and `percent` % of them
+    have in common. Texts that hold the same lines count once, as the lines of an article that is stored often are no furniture.
+    Lines agree if their letters do; each text sends a line once, and counts combine before the shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, 4_000_000):
+                h, bounds = line_hashes(batch.column(1).to_pylist())
+                row = np.repeat(np.arange(len(batch)), np.diff(bounds))
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                keep = (h > 0) & np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+                h, row = h[keep], row[keep]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["source", "hashes"])
+
+    base = articles.where(F.col("text") != "").select(F.coalesce(source_of("src_file"), F.lit(NO_SOURCE)).alias("source"), "text")
+    texts = settle(base.mapInArrow(run, "source string, hashes array<bigint>").distinct())
+    total = texts.groupBy("source").agg(F.count("*").alias("of_articles"))
+    counts = texts.select("source", F.explode("hashes").alias("line_hash")).groupBy("source", "line_hash").agg(F.count("*").alias("n_articles"))
+    joined = counts.where(F.col("n_articles") >= least).join(total, "source")
+    return settle(joined.where(F.col("n_articles") * 100 >= F.col("of_articles") * percent).select("source", "line_hash", "n_articles", "of_articles"))
+
+
+class _Marker:
+    """Tells furniture lines from others. The pairs of source and line travel as one sorted array of 64-bit numbers while there are at most
+    `most` (32 MB); beyond that each text brings the lines of its source along, by a join that deals every source to `salt` tasks."""
 
-def _with_marked_lines(articles: DataFrame, furniture: DataFrame) -> DataFrame:
-    """`article_id, source, failed, marked` of articles with text that are no directory pages; `marked` holds the lines that aren't
-    blank, each with whether it is furniture."""
-    found = maybe_broadcast(settle(furniture.groupBy("source").agg(F.collect_set("line_hash").alias("furniture"))), 20_000)
-    failed = (F.coalesce(F.col("http_status"), F.lit(0)) >= 400) | F.coalesce(F.lower("via").rlike("fail|none"), F.lit(False))
-    base = articles.where((F.col("text") != "") & ~F.coalesce(F.col("is_directory"), F.lit(False))).select(
-        "article_id", F.coalesce(source_of("src_file"), F.lit(NO_SOURCE)).alias("source"), F.split("text", "\n").alias("lines"), failed.alias("failed")
-    )
-    dropped = lambda x: F.coalesce(F.array_contains("furniture", line_hash(x)), F.lit(False))
-    marked = F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.struct(x.alias("line"), dropped(x).alias("dropped")))
-    return base.join(found, "source", "left").select("article_id", "source", "failed", marked.alias("marked"))
+    def __init__(self, furniture: DataFrame, most: int = 4_000_000, salt: int = 32):
+        self.found = furniture.select("source", "line_hash")
+        self.salt, self.known = salt, None
+        if furniture.limit(most + 1).count() <= most:
+            keys = self.found.select(F.xxhash64("source").bitwiseXOR(F.col("line_hash")).alias("k")).toArrow().column("k").to_numpy().view(np.uint64)
+            self.known = furniture.sparkSession.sparkContext.broadcast(np.unique(keys))
 
+    def ready(self, articles: DataFrame) -> DataFrame:
+        """`article_id, source, text, failed, drop` of articles with text that are no directory pages."""
+        failed = (F.coalesce(F.col("http_status"), F.lit(0)) >= 400) | F.coalesce(F.lower("via").rlike("fail|none"), F.lit(False))
+        base = articles.where((F.col("text") != "") & ~F.coalesce(F.col("is_directory"), F.lit(False))).select(
+            "article_id", F.coalesce(source_of("src_file"), F.lit(NO_SOURCE)).alias("source"), "text", failed.alias("failed")
+        )
+        if self.known is not None:
+            return base.withColumn("drop", F.lit(None).cast("array<bigint>"))
+        lists = self.found.groupBy("source").agg(F.collect_list(F.xxhash64("source").bitwiseXOR(F.col("line_hash"))).alias("drop")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.salt - 1))))
+        return base.withColumn("part", F.pmod(F.xxhash64("article_id"), F.lit(self.salt)).cast("int")).join(lists, ["source", "part"], "left").select("article_id", "source", "text", "failed", "drop")
 
-def _with_own_lines(articles: DataFrame, furniture: DataFrame) -> DataFrame:
-    """`article_id, source, failed, own`: as `_with_marked_lines`; `own` holds the lines that aren't furniture."""
-    own = F.transform(F.filter("marked", lambda x: ~x["dropped"]), lambda x: x["line"])
-    return _with_marked_lines(articles, furniture).select("article_id", "source", "failed", own.alias("own"))
 
+def _marked(batch: pa.RecordBatch, known: np.ndarray | None) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Lines by text, the furniture mark of each line, and where each text's lines begin; columns 1, 2 and 4 are source, text, drop."""
+    texts = batch.column(2).to_pylist()
+    h, bounds = line_hashes(texts)
+    codes = batch.column(1).dictionary_encode()
+    own = np.array([xxhash.xxh64_intdigest(s, seed=42) for s in codes.dictionary.to_pylist()] or [0], dtype=np.uint64)
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    key = own[codes.indices.to_numpy(zero_copy_only=False)][row] ^ h
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+        hit = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
+    else:
+        hit = np.zeros(len(key), dtype=bool)
+        for i, drop in enumerate(batch.column(4).to_pylist()):
+            if drop:
+                hit[bounds[i] : bounds[i + 1]] = np.isin(key[bounds[i] : bounds[i + 1]], np.array(drop, dtype=np.int64).view(np.uint64))
+    return [t.split("\n") for t in texts], hit & (h > 0), bounds
 
-def train(articles: DataFrame, furniture: DataFrame, most_records: int = 20_000, short: int = 60, line: int = 30) -> Model:
-    """Fits the model on about `most_records` records, taken by a hash of their id.
+
+def train(articles: DataFrame, marker: _Marker, most_records: int = 20_000, short: int = 60, line: int = 30, most_lines: int = 200, longest: int = 5_000) -> Model:
+    """Fits the model on about `most_records` records, taken by a hash of their id; of a record, on `most_lines` of its lines at even distances
+    and on lines of at most `longest` characters, so that what reaches the driver is bounded in bytes too.
 
     Trusted are records of at most `short` words whose fetch failed or that hold known filler; records of at most `line` words
     whose own text, digits apart, stands in two sources or three records, as no article's does; and records with three sure slots.
     """
     total = max(1, articles.count())
-    chosen = F.pmod(F.xxhash64(F.lit("residue"), "article_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_records / total))
-    rows = _with_own_lines(articles.where(chosen), furniture).where(F.size("own") > 0)
-    rows = rows.withColumn("text", F.array_join("own", "\n")).withColumn("n", F.regexp_count("text", F.lit(WORD)))
-    kind = F.when(F.col("text").rlike(r"(?i)dolor sit amet|\blorem\b|\basdf\b|\bqwerty\b|(?<!\w)x{4,}(?!\w)"), "filler").when(F.col("failed"), "failed")
-    kept = F.xxhash64(F.lit("other"), "article_id") % 5 == 0
-    rows = settle(rows.where((F.col("n") <= short) | F.col("text").rlike(_HINT) | kept).select("article_id", "source", "own", "n", kind.alias("kind"), F.xxhash64(letters_key("text")).alias("key"), kept.alias("kept")))
+    chosen = F.xxhash64(F.lit("residue"), "article_id").bitwiseAND(F.lit((1 << 62) - 1)) < int((1 << 62) * min(1.0, most_records / total))
+    marks = marker.known
+    names = ["source", "own", "n", "kind", "key", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if marks is None else marks.value
+        for batch in (piece for whole in batches for piece in slices(whole, 2, 4_000_000)):
+            lines, hit, bounds = _marked(batch, known)
+            own = [[x for x, f in zip(ls, hit[b : b + len(ls)].tolist()) if not f and x.strip()] for ls, b in zip(lines, bounds.tolist())]
+            text = ["\n".join(ls) for ls in own]
+            n, key = np.diff(word_hashes(text)[1]), line_hashes([t.replace("\n", " ") for t in text])[0].view(np.int64)
+            kind = [FILLER.search(t) is not None or bool(f) for t, f in zip(text, batch.column(3).to_pylist())]
+            kept = mixed(np.array([xxhash.xxh64_intdigest(str(i)) for i in batch.column(0).to_pylist()], dtype=np.uint64)) % np.uint64(5) == 0
+            at = [i for i, t in enumerate(text) if t and (n[i] <= short or kept[i] or _MARK.search(t))]
+            few = [[x for x in own[i][:: 1 + (len(own[i]) - 1) // most_lines] if len(x) <= longest] for i in at]
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array(few, pa.list_(pa.string())), pa.array(n[at]), pa.array([kind[i] for i in at], pa.bool_()), pa.array(key[at]), pa.array(kept[at])], names=names)
+
+    rows = settle(marker.ready(articles.where(chosen)).mapInArrow(run, "source string, own array<string>, n bigint, kind boolean, key bigint, kept boolean"))
     brief = rows.where(F.col("n") <= line).groupBy("key").agg(F.count("*").alias("times"), F.min("source").alias("low"), F.max("source").alias("high"))
     shared = {r["key"] for r in brief.where((F.col("low") != F.col("high")) | (F.col("times") >= 3)).select("key").collect()}
     slotted, failed, other = [], [], []
@@ -155,12 +208,12 @@ def judge_records(articles: DataFrame, furniture: DataFrame | None = None, margi
     the verdict can't change. Where all lines of a text are set apart, as in near copies that a source repeats, these
     are judged: the record is no residue if more of them are story than residue. Null and empty texts, directory pages: no row. Every article is judged on its whole text.
     """
-    if furniture is None:
-        furniture = furniture_lines(articles)
-    shared = articles.sparkSession.sparkContext.broadcast(train(articles, furniture))
+    marker = _Marker(furniture_lines(articles) if furniture is None else furniture)
+    marks = marker.known
+    shared = articles.sparkSession.sparkContext.broadcast(train(articles, marker))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, all_marks = shared.value, None if marks is None else marks.value
         known: dict[str, tuple[int, int]] = {}
 
         def judge(line: str, found: set[str]) -> tuple[int, int]:
@@ -178,15 +231,12 @@ def judge_records(articles: DataFrame, furniture: DataFrame | None = None, margi
                 return int(end and n >= 5), 0
             return int(n >= 5 and m.score(line) <= margin), 0
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 2, 4_000_000)):
             reasons = []
-            lists = batch.column(1)
-            flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            every, dropped = flat.field("line"), flat.field("dropped")
-            mine = every.filter(pc.invert(dropped)).to_pylist()
-            ends = np.concatenate(([0], np.cumsum(~dropped.to_numpy(zero_copy_only=False).astype(bool))))[at]
-            for i in range(len(lists)):
-                lines = mine[ends[i] : ends[i + 1]]
+            texts, hit, bounds = _marked(batch, all_marks)
+            for lines_, b in zip(texts, bounds.tolist()):
+                drop = hit[b : b + len(lines_)].tolist()
+                lines = [x for x, f in zip(lines_, drop) if not f and x.strip()]
                 story = slotted = 0
                 found: set[str] = set()
                 marked = any(map(_MARK.search, lines))
@@ -201,10 +251,10 @@ def judge_records(articles: DataFrame, furniture: DataFrame | None = None, margi
                     if story and not marked:
                         break
                 if not lines:
-                    rest = every[at[i] : at[i + 1]].to_pylist()
+                    rest = [x for x in lines_ if x.strip()]
                     told = sum(judge(x, set())[0] for x in rest)
                     story = int(told > sum(m.score(x) > margin for x in rest))
                 reasons.append("slots" if slotted > story or len(found) >= 2 and slotted * 4 >= story + slotted else None if story else "no story")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string()), pa.array([r is not None for r in reasons])], names=["article_id", "reason", "is_residue"])
 
-    return _with_marked_lines(articles, furniture).select("article_id", "marked").mapInArrow(run, "article_id bigint, reason string, is_residue boolean")
+    return marker.ready(articles).mapInArrow(run, "article_id bigint, reason string, is_residue boolean")
