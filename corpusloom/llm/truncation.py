@@ -1,30 +1,43 @@
 """Texts that end before their author's end: length spikes of each source, and endings the corpus doesn't know as endings."""
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm.codes import mixed, slices
 from corpusloom.plans.shared import settle
 
-_TOKEN = r"\p{IsHan}|[\p{L}\p{M}\p{N}]+|\n|[.!?。！？…]|[,;:，、；：]"
 _CLOSERS = r"[\"'”’»)\]』」›*_]"
 #: A text whose last line matches is whole: a sentence end, with closing marks.
 _SENTENCE_END = rf"[.!?。！？।]{_CLOSERS}*$"
 #: Marks that software puts where it cut.
 _CUT_MARK = r"(?i)(?:\.\.\.+|…|\[\s*(?:\.{3}|…|\+\s*\d+\s*\w*)\s*\]|[\[(](?:more|continued|read more|cont\.?|suite|далее|подробнее|ещё|más|selengkapnya|još|更多|未完)[\])]|(?:read more|continue reading|читать далее|leer más|lire la suite|baca selengkapnya|阅读更多|阅读全文))\s*[»>→]*$"
-_PREFIX = 14
-_EMPTY = np.uint64(0x51ED27)
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Blank signs at the end of a text, in a text's columns and in Python.
+_BLANK = " \t\n\x0b\f\r\u00a0\u3000\u200b\ufeff"
+_EMPTY, _START, _COMMA, _END, _HAN, _WORDS = (mixed(np.arange(6, dtype=np.uint64) + np.uint64(77))[i] for i in range(6))
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: 0 no token, 1 part of a word, 2 Han, 3 line break, 4 sentence end, 5 comma; whether it is a digit; upper case; a random number."""
+    top = 0x32400
+    every = "".join(map(chr, range(top))).encode("utf-32-le", "surrogatepass").decode("utf-32-le", "surrogatepass")
+    kind = np.zeros(top + 1, dtype=np.int8)
+    for mark, pattern in ((1, r"[\p{L}\p{M}\p{N}]+"), (2, r"\p{Han}+"), (3, r"\n"), (4, r"[.!?。！？…]"), (5, r"[,;:，、；：]")):
+        for m in regex.finditer(pattern, every):
+            kind[m.start() : m.end()] = mark
+    digit, upper = (np.array([*map(test, every), False], dtype=bool) for test in (str.isdigit, lambda c: c != c.lower()))
+    return kind, digit, upper, mixed(np.arange(top + 1, dtype=np.uint64) ^ np.uint64(0xC0FFEE))
 
 
 def _last_line(text: Column) -> Column:
-    return F.substring_index(F.regexp_replace(text, r"[\s\x{A0}\x{3000}\x{200B}\x{FEFF}]+$", ""), "\n", -1)
+    return F.substring_index(F.rtrim(text, F.lit(_BLANK)), "\n", -1)
 
 
 def length_spikes(lengths: DataFrame, least: int = 5, times: float = 8.0, around: int = 40) -> DataFrame:
@@ -40,102 +53,111 @@ def length_spikes(lengths: DataFrame, least: int = 5, times: float = 8.0, around
     )
 
 
-def _coded(batch: pa.RecordBatch, at: int):
-    """Of the batch's token lists: offsets, and by token the kind (0 line break, 1 sentence end, 2 comma, 3 word), mask and exact hash."""
-    lists = batch.column(at)
-    coded = lists.flatten().dictionary_encode()
-    own = coded.dictionary.to_pylist()
-    kind = np.full(len(own), 3, dtype=np.int8)
-    mask = np.zeros(len(own), dtype=np.uint64)
-    exact = np.zeros(len(own), dtype=np.uint64)
-    for i, t in enumerate(own):
-        c = t[0]
-        if c == "\n":
-            kind[i] = 0
-        elif c in ".!?。！？…":
-            kind[i] = 1
-        elif c in ",;:，、；：":
-            kind[i] = 2
-        else:
-            exact[i] = xxhash.xxh3_64_intdigest(t)
-            m = "0" if t[0].isdigit() else "C" if t != t.lower() else t
-            mask[i] = xxhash.xxh3_64_intdigest(m)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    han = np.fromiter(("⺀" <= t[0] and regex.match(r"\p{Han}", t) is not None for t in own), dtype=bool, count=len(own))
-    return offsets, kind[codes], mask[codes], exact[codes], han[codes]
+def _coded(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Where each text's tokens begin (one entry more than texts), and by token the kind (0 line break, 1 sentence end, 2 comma, 3 word), mask,
+    exact hash, and whether it is Han. The mask of words with capitals is the same for all, that of numbers too."""
+    kinds, digits, uppers, numbers = _tables()
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    code = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(kinds) - 1)
+    part = kinds[code]
+    begin = part > 0
+    begin[1:] &= (part[1:] != 1) | (part[:-1] != 1)
+    ends = np.cumsum(sizes)
+    cuts = ends[:-1][ends[:-1] < len(code)]
+    begin[cuts] = part[cuts] > 0
+    at = np.flatnonzero(part > 0)
+    starts = np.flatnonzero(begin[at])
+    none = np.zeros(0, dtype=np.uint64)
+    if not len(at):
+        return np.zeros(len(texts) + 1, dtype=np.int64), none.astype(np.int8), none, none, none.astype(bool)
+    offsets = np.searchsorted(at[starts], np.concatenate(([0], ends)))
+    length = np.diff(np.concatenate((starts, [len(at)])))
+    chars, first = code[at], code[at[starts]]
+    place = np.arange(len(at)) - np.repeat(starts, length)
+    with np.errstate(over="ignore"):
+        exact = mixed(np.add.reduceat(numbers[chars] * (mixed(np.arange(int(length.max()), dtype=np.uint64)) | np.uint64(1))[place], starts))
+    han = part[at[starts]] == 2
+    kind = np.array([0, 3, 3, 0, 1, 2], dtype=np.int8)[part[at[starts]]]
+    capital = np.logical_or.reduceat(uppers[chars], starts)
+    mask = np.where(digits[first], _WORDS, np.where(capital, _WORDS ^ np.uint64(1), exact))
+    return offsets, kind, mask, exact, han
 
 
 def _keys(offsets, kind, mask, exact, han):
-    """By token: whether a line begins there, the key of the line so far (0 beyond `_PREFIX` words) and of the last three words."""
+    """By token the key of its line up to it, of the last three words, and of the word itself."""
     n = len(kind)
     begin = np.zeros(n, dtype=bool)
     begin[offsets[:-1][offsets[:-1] < n]] = True
     begin[1:] |= kind[:-1] == 0
-    line = np.cumsum(begin)
     first = np.flatnonzero(begin)
-    place = np.arange(n) - first[line - 1] if n else np.zeros(0, dtype=np.int64)
-    shape = np.where(han, np.uint64(7), mask)
-    shape = np.where(kind == 2, np.uint64(11), np.where(kind == 1, np.uint64(13), shape))
-    so_far = np.zeros(n, dtype=np.uint64)
-    for k in range(_PREFIX):
-        at = np.flatnonzero(place == k)
-        so_far[at] = ((so_far[at - 1] if k else _EMPTY) ^ shape[at]) * _MUL + np.uint64(k + 1)
-    word = np.where(kind == 3, mask, np.where(kind == 2, np.uint64(11), np.uint64(13)))
-    one = np.where(begin, _EMPTY, np.roll(word, 1)) if n else word
-    two = np.where(begin | np.roll(begin, 1), _EMPTY * _MUL, np.roll(word, 2)) if n else word
-    last3 = ((two * _MUL ^ one) * _MUL ^ word) * _MUL + np.uint64(3)
-    return so_far, last3, (exact * _MUL + np.uint64(5))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, kind, mask, exact, han = _coded(batch, 0)
-        n = len(kind)
-        if not n:
-            continue
-        so_far, last3, own = _keys(offsets, kind, mask, exact, han)
-        last = np.zeros(n, dtype=bool)
-        last[offsets[1:][np.diff(offsets) > 0] - 1] = True
-        after = np.where(last, 0, np.roll(kind, -1))
-        word = kind == 3
-        ends, goes = word & (after == 0), word & (after >= 2)
-        known = word & ~last & ~han
-        keys = np.concatenate((so_far[ends & (so_far > 0)], last3[ends], so_far[goes & (so_far > 0)], last3[goes], own[known]))
-        split = int((ends & (so_far > 0)).sum() + ends.sum())
-        u, inv = np.unique(keys, return_inverse=True)
-        e = np.bincount(inv[:split], minlength=len(u))
-        m = np.bincount(inv[split:], minlength=len(u))
-        # rows for all texts: key 0 counts words, and endings without a sentence end
-        u = np.concatenate((u.astype(np.int64), [0]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(u), pa.array(np.concatenate((e, [int((last & word).sum())]))), pa.array(np.concatenate((m, [int(word.sum())])))], names=["key", "ends", "goes"]
-        )
+    start = first[np.cumsum(begin) - 1] if n else np.zeros(0, dtype=np.int64)
+    place = np.arange(n) - start
+    shape = np.where(kind == 2, _COMMA, np.where(kind == 1, _END, np.where(han, _HAN, mask)))
+    word = np.where(kind == 3, mask, np.where(kind == 2, _COMMA, _END))
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(shape * (mixed(np.arange(int(place.max()) + 1 if n else 0, dtype=np.uint64)) | np.uint64(1))[place]) if n else shape
+        before = np.where(start > 0, sums[np.maximum(start - 1, 0)], np.uint64(0)) if n else sums
+        so_far = mixed(sums - before + place.astype(np.uint64))
+        one = np.where(begin, _EMPTY, np.roll(word, 1)) if n else word
+        two = np.where(begin | np.roll(begin, 1), _START, np.roll(word, 2)) if n else word
+        last3 = mixed(mixed(mixed(two) ^ one) ^ word) ^ np.uint64(3)
+    return so_far.view(np.int64), last3.view(np.int64), mixed(exact ^ np.uint64(5)).view(np.int64)
+
+
+def _count(wanted: np.ndarray | None):
+    """Counts of keys: how often a line ends there (`ends`) and how often words go on in the line (`goes`); key 0 is for all words.
+    With `wanted`, sorted, only keys among them are counted; a table of their lowest 22 bits turns most others away at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if wanted is not None:
+            quick = np.zeros(1 << 22, dtype=bool)
+            quick[wanted.value & ((1 << 22) - 1)] = True
+
+        def chosen(key: np.ndarray) -> np.ndarray:
+            if wanted is None:
+                return key
+            key = key[quick[key & ((1 << 22) - 1)]]
+            at = np.minimum(np.searchsorted(wanted.value, key), max(len(wanted.value) - 1, 0))
+            return key[wanted.value[at] == key] if len(wanted.value) else key[:0]
+
+        for batch in (piece for whole in batches for piece in slices(whole, 0, 3_000_000)):
+            coded = _coded([t.rstrip(_BLANK) if t else "" for t in batch.column(0).to_pylist()])
+            offsets, kind, _, _, han = coded
+            if not len(kind):
+                continue
+            so_far, last3, own = _keys(*coded)
+            last = np.zeros(len(kind), dtype=bool)
+            last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+            after = np.where(last, 0, np.roll(kind, -1))
+            word = kind == 3
+            ends, goes = word & (after == 0), word & (after >= 2)
+            closing = np.concatenate((chosen(so_far[ends]), chosen(last3[ends])))
+            u, inv = np.unique(np.concatenate((closing, chosen(so_far[goes]), chosen(last3[goes]), chosen(own[word & ~last & ~han]))), return_inverse=True)
+            e = np.bincount(inv[: len(closing)], minlength=len(u))
+            m = np.bincount(inv[len(closing) :], minlength=len(u))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((u, [0]))), pa.array(np.concatenate((e, [int((last & word).sum())]))), pa.array(np.concatenate((m, [int(word.sum())])))], names=["key", "ends", "goes"]
+            )
+
+    return run
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, kind, mask, exact, han = _coded(batch, 1)
-        so_far, last3, own = _keys(offsets, kind, mask, exact, han)
-        size = np.diff(offsets)
-        ids, out = batch.column(0), []
-        for i in range(len(size)):
-            a, b = offsets[i], offsets[i + 1] - 1
-            if size[i] == 0:
-                continue
-            word = kind[b] == 3
-            # a sentence that ended earlier in the same line: no headline, list point or name holds one
-            inner = bool((kind[a:b] == 1).any())
-            lower = word and not han[b]
-            out.append((i, int(np.int64(so_far[b])) if size[i] <= _PREFIX else None, int(np.int64(last3[b])) if word else None, int(np.int64(own[b])) if lower else None, inner))
-        cols = list(zip(*out)) if out else [[], [], [], [], []]
+    for batch in (piece for whole in batches for piece in slices(whole, 1, 3_000_000)):
+        coded = _coded(batch.column(1).to_pylist())
+        offsets, kind, _, _, han = coded
+        so_far, last3, own = _keys(*coded)
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        b = offsets[1:][full] - 1
+        marks = np.concatenate(([0], np.cumsum(kind == 1)))
+        inner = marks[b] > marks[offsets[:-1][full]]  # a sentence that ended earlier in the line: no headline, list point or name holds one
+        word, lower = kind[b] == 3, (kind[b] == 3) & ~han[b]
         yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.bool_())],
-            names=["row", "line_key", "last_key", "word_key", "inner"],
+            [batch.column(0).take(pa.array(full)), pa.array(so_far[b]), pa.array(last3[b], mask=~word), pa.array(own[b], mask=~lower), pa.array(inner)], names=["row", "line_key", "last_key", "word_key", "inner"]
         )
 
 
-def judge_endings(documents: DataFrame, factor: float = 5.0) -> DataFrame:
+def judge_endings(documents: DataFrame, factor: float = 5.0, most_keys: int = 4_000_000) -> DataFrame:
     """One row for each document with visible text: `doc_id, source, at_spike, reason`; `reason` is null if the text is whole.
 
     Reasons: `character` (a broken character at the end), `mark` (a cut mark), `spike` (a length at which the source's texts pile
@@ -144,10 +166,11 @@ def judge_endings(documents: DataFrame, factor: float = 5.0) -> DataFrame:
 
     Ends with a sentence end, links, and lines without letters or in brackets are whole. Other ends, of texts without any sentence
     end too, are compared with all lines of all documents: a line of that shape, or the last three words (names and numbers masked), must end lines at least `factor`
-    times as often as cuts at random would make it. Every text counts in full; the counts grow with the different word sequences.
+    times as often as cuts at random would make it. Every text counts in full, lines of any length. What the doubtful ends ask for travels to all tasks
+    while it is at most `most_keys` numbers (32 MB), so that nothing else is shuffled; beyond that all counts are, and joined.
     Null, empty and blank texts: no row. Documents that share an id are judged as rows of their own.
     """
-    docs = documents.where(F.length(F.regexp_replace("text", r"[\s\x{A0}\x{3000}\x{200B}\x{FEFF}]+", "")) > 0)
+    docs = documents.where(F.col("text").rlike(r"[^\s\x{A0}\x{3000}\x{200B}\x{FEFF}]"))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text")
     lengths = docs.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n")))).alias("x"))
     spikes = length_spikes(lengths.select("source", "x.unit", "x.n"))
@@ -165,15 +188,17 @@ def judge_endings(documents: DataFrame, factor: float = 5.0) -> DataFrame:
     base = base.withColumn("reason", tail).withColumn("done", F.col("reason").isNull() & whole)
     base = base.withColumn("reason", F.coalesce("reason", F.when(~F.col("done") & open_, "open")))
     base = settle(base.withColumn("line", F.when(F.col("reason").isNull() & ~F.col("done"), F.col("line"))))
-    unsure = base.where(F.col("line").isNotNull()).select("row", F.regexp_extract_all("line", F.lit(_TOKEN), F.lit(0)).alias("w"))
-    ends = unsure.mapInArrow(_endings, "row bigint, line_key bigint, last_key bigint, word_key bigint, inner boolean")
-    counts = documents.select(F.regexp_extract_all(F.regexp_replace("text", r"\s+$", ""), F.lit(_TOKEN), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    counts = counts.mapInArrow(_count, "key bigint, ends bigint, goes bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
-    asked = ends.select("row", "inner", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).alias("key")) for k in ("line_key", "last_key", "word_key")], F.struct(F.lit("all").alias("of"), F.lit(0).cast("bigint").alias("key")))).alias("x"))
+    ends = settle(base.where(F.col("line").isNotNull()).select("row", "line").mapInArrow(_endings, "row bigint, line_key bigint, last_key bigint, word_key bigint, inner boolean"))
+    asked = ends.select("row", "inner", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).alias("key")) for k in ("line_key", "last_key", "word_key")])).alias("x"))
     asked = asked.select("row", "inner", "x.of", "x.key")
-    totals = settle(counts.join(asked.select("key").distinct(), "key", "left_semi"))
+    keys = settle(asked.select("key").where(F.col("key").isNotNull()).distinct())
+    wanted = None
+    if keys.limit(most_keys + 1).count() <= most_keys:
+        wanted = documents.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()))
+    counts = documents.where(F.col("text") != "").select("text").mapInArrow(_count(wanted), "key bigint, ends bigint, goes bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    totals = settle(counts if wanted is not None else counts.join(keys.unionByName(keys.sparkSession.range(1).select(F.col("id").alias("key"))), "key", "left_semi"))
     rate = totals.where(F.col("key") == 0).select((F.col("ends") / F.col("goes")).alias("rate"))
-    asked = asked.where(F.col("of") != "all").join(totals, "key", "left")
+    asked = asked.join(totals, "key", "left")
     of = lambda k, c: F.coalesce(F.max(F.when(F.col("of") == k, F.col(c))), F.lit(0))
     seen = asked.groupBy("row").agg(F.first("inner").alias("inner"), *[of(k, c).alias(f"{k[:4]}_{c}") for k in ("line_key", "last_key") for c in ("ends", "goes")], F.max(F.when((F.col("of") == "word_key") & F.col("key").isNotNull(), F.coalesce("goes", F.lit(0)))).alias("word_seen"))
     h = rate.first()
