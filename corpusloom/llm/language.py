@@ -70,7 +70,7 @@ class WordModel:
         return s
 
 
-def fit(lines: list[tuple[str, str | None]], rounds: int = 6, trust: float = 0.6, most_words: int = 60_000, clip: float = 4.0) -> WordModel:
+def fit(lines: list[tuple[str, str | None]], rounds: int = 6, trust: float = 0.6, clip: float = 4.0) -> WordModel:
     """Naive Bayes over words from lines with noisy labels, by expectation-maximisation.
 
     A line starts at its label with probability `trust` and spreads the rest over the languages its script allows; in each round
@@ -88,7 +88,7 @@ def fit(lines: list[tuple[str, str | None]], rounds: int = 6, trust: float = 0.6
     for w, _ in rows:
         for x in w:
             count[x] = count.get(x, 0) + 1
-    kept = [w for w in sorted(count, key=lambda w: (-count[w], w))[:most_words] if count[w] >= 2]
+    kept = [w for w in sorted(count) if count[w] >= 2]
     vocab = {w: i for i, w in enumerate(kept)}
     k = len(LANGUAGES)
     allow_word = np.array([[lang in _script(w) for lang in LANGUAGES] for w in kept], dtype=bool).reshape(-1, k)
@@ -122,7 +122,7 @@ def fit(lines: list[tuple[str, str | None]], rounds: int = 6, trust: float = 0.6
 def train(articles: DataFrame, labels: DataFrame, most_lines: int = 30_000) -> WordModel:
     """Fits the word model on about `most_lines` lines, taken by a hash of article and place from about `most_lines` / 4 articles, labelled or not."""
     share = min(1.0, 3.0 * most_lines / 12 / max(1, articles.count()))
-    chosen = articles.where((F.col("text") != "") & (F.pmod(F.xxhash64(F.lit("language"), "article_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    chosen = articles.where((F.col("text") != "") & (F.xxhash64(F.lit("language"), "article_id").bitwiseAND(F.lit((1 << 62) - 1)) < int(share * (1 << 62))))
     rows = chosen.select("article_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.length("line") >= 12)
     rows = rows.join(latest_labels(labels), "article_id", "left").orderBy(F.xxhash64("article_id", "at")).limit(most_lines)
     return fit([(r["line"], r["label"]) for r in rows.select("line", "label").collect()])

@@ -1,8 +1,10 @@
 """Test items that leak into documents: BM25 index of the items, block-max WAND per passage, exact check of word runs."""
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +75,16 @@ class ItemIndex:
             field = self.post[cursors[pivot][1]][0][cursors[pivot][0]]
             while pivot + 1 < len(cursors) and self.post[cursors[pivot + 1][1]][0][cursors[pivot + 1][0]] == field:
                 pivot += 1
-            block_bound = 0.0
+            block_bound, beyond = 0.0, len(self.fields)
+            if pivot + 1 < len(cursors):
+                beyond = self.post[cursors[pivot + 1][1]][0][cursors[pivot + 1][0]]
             for at, t in cursors[: pivot + 1]:
                 ids, maxima = self.post[t][0], self.maxima[t]
                 k = at // self.block
                 while k < len(maxima) - 1 and ids[min(len(ids), (k + 1) * self.block) - 1] < field:
                     k += 1
                 block_bound += maxima[k]
+                beyond = min(beyond, ids[min(len(ids), (k + 1) * self.block) - 1] + 1)
             if block_bound >= self.threshold[field]:
                 score = 0.0
                 for c in cursors[: pivot + 1]:
@@ -91,11 +96,10 @@ class ItemIndex:
                         c[0] += 1
                 if score >= self.threshold[field]:
                     out.append(field)
-            else:
+            else:  # the bound holds up to the end of the first block: no field before it can reach its threshold, if none has a lower one
+                to = beyond if beyond > field + 1 and block_bound < self.threshold[field:beyond].min() else field + 1
                 for c in cursors[: pivot + 1]:
-                    ids = self.post[c[1]][0]
-                    while c[0] < len(ids) and ids[c[0]] <= field:
-                        c[0] += 1
+                    c[0] = bisect_left(self.post[c[1]][0], to, c[0])
             cursors = [c for c in cursors if c[0] < len(self.post[c[1]][0])]
         return out
 
@@ -111,23 +115,29 @@ class ItemIndex:
         return found
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = 13, most_items: int = 200_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = 13, most_items: int = 200_000, most_bytes: int = 200_000_000) -> DataFrame:
     """`doc_id, item_id, in_passage, in_question, answer_near`: documents with at least `run` consecutive words of an item's passage or question.
 
     Query passages are the document's unbroken stretches of words that occur in some item, if they have `run` words at least:
     a shared run can't lie elsewhere. Each is answered by the BM25 index, then checked word by word. `in_passage` and
     `in_question` count the shared runs; `answer_near` says whether the answer's words stand in the document one after the other.
 
-    The items travel to every task: their number is fixed by the test suites and checked against `most_items`; more of them are
-    searched in several passes over the documents. Null and empty texts, items without `run` words: no row. Items that share a
+    The items travel to every task: their number is fixed by the test suites. More than `most_items`, or than `most_bytes` of text, are dealt by
+    hash into as many parts as it takes, each searched in a pass over the documents of its own. Null and empty texts, items without `run` words: no row. Items that share a
     text are all reported. Documents that share an id keep their own rows. No shuffle.
     """
-    rows = items.select("item_id", "passage", "question", "answer").limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        half = F.pmod(F.xxhash64("item_id", "passage", "question"), F.lit(2))
-        parts = [leaked_items(documents, items.where(half == k), run, most_items) for k in (0, 1)]
-        return parts[0].unionByName(parts[1])
-    shared = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    chosen = items.select("item_id", "passage", "question", "answer")
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("passage", "question", "answer")), F.lit(0))
+    total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-total["n"] // most_items), -(-total["bytes"] // most_bytes))
+    part = F.pmod(F.xxhash64("item_id", "passage", "question", "answer"), F.lit(parts))
+    found = [_search(documents, [tuple(r) for r in chosen.where(part == k).collect()], run) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(documents: DataFrame, rows: list[tuple], run: int) -> DataFrame:
+    """As `leaked_items`, for items that fit into every task."""
+    shared = documents.sparkSession.sparkContext.broadcast(rows)
     made: dict = {}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

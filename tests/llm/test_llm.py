@@ -81,6 +81,17 @@ def test_block_max_wand_finds_all():
             assert f in index.retrieve(index.fields[f][2][start : start + 13].tolist())
 
 
+def test_more_items_than_fit_one_pass(spark):
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(20)), f"q{i}", "a") for i in range(12)] + [(12, None, None, None)]
+    docs = [(i, "x " + " ".join(p.split()[2:16]) + " y") for i, p, _, _ in items[:12]] + [(20, None), (21, "")]
+    items_df = spark.createDataFrame(items, "item_id bigint, passage string, question string, answer string")
+    docs_df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for most in (4, 1, 100):
+        got = {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs_df, items_df, most_items=most).collect()}
+        assert got == {(i, i) for i in range(12)}
+
+
 @pytest.mark.parametrize("n, similarity", [(3, 0.5), (5, 0.5), (3, 0.8)])
 def test_near_duplicates_against_brute_force(spark, n, similarity):
     rng = random.Random(n)
