@@ -22,8 +22,8 @@ def is_chinese(text: Column | str) -> Column:
 def detect_language(text: Column | str) -> Column:
     """`zh` if more than 0.3 of letters and digits are Chinese, `unknown` without any or for null, else `en`."""
     t = F.coalesce(_C(text), F.lit(""))
-    n = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]"))
-    return F.when(n == 0, "unknown").when(F.regexp_count(t, F.lit(r"[\x{4E00}-\x{9FFF}]")) / F.nullif(n, F.lit(0)) > 0.3, "zh").otherwise("en")
+    n = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", ""))
+    return F.when(n == 0, "unknown").when(F.length(F.regexp_replace(t, r"[^\x{4E00}-\x{9FFF}]+", "")) / F.nullif(n, F.lit(0)) > 0.3, "zh").otherwise("en")
 
 
 def clean_text(text: Column | str) -> Column:

@@ -13,12 +13,14 @@ from corpusloom import lexicons as lex
 from corpusloom.functions.scalars import hit_date, hit_type, is_binary_url, normalize_url, resolve_url, url_host, url_path
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose text is dropped.
 _DROP = frozenset("script style noscript svg canvas iframe form nav footer header aside".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Meta elements that hold a date, in order.
 _META = [("property", "article:published_time"), ("name", "pubdate"), ("name", "publishdate"), ("name", "date"), ("name", "DC.date"), ("name", "DC.Date"), ("name", "DCTERMS.issued")]
+#: Dates in a page's text, and the date that marks an item of a list, an abbreviated month with a dot.
 _DATE = re.compile(r"\b20\d{2}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}\s+[A-Za-z]{3,9}\s+20\d{2}\b|\b[A-Za-z]{3,9}\.?\s+\d{1,2},\s*20\d{2}\b")
-_ITEM_DATE = re.compile(r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s*\d{1,2},\s*\d{4}")
+_ITEM_DATE = re.compile(r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.\s*\d{1,2},\s*\d{4}\b")
 _NAV = re.compile(lex.NAVIGATION_WORDS, re.I)
 
 

@@ -89,7 +89,10 @@ def pmi(toks: DataFrame, k: int = 30) -> DataFrame:
 
 
 def semantic_clusters(pairs: DataFrame, top_k: int = 5, starts: int = 20, sweep: int = 50, least: int = 3, most: int = 8) -> DataFrame:
-    """`group, cluster_id, members` grown greedily from pairs with the highest `pmi`; a group has at most as many rows as `pmi` kept, so it fits a task."""
+    """`group, cluster_id, members` grown greedily from pairs with the highest `pmi`; a group has at most as many rows as `pmi` kept, so it fits a task.
+
+    Only a pair of words that are in no cluster yet starts one; a cluster then takes every word that the first `sweep` pairs tie to it,
+    words of earlier clusters too. Equal values are taken by (w1, w2)."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         ranked = list(pdf.sort_values(["pmi", "w1", "w2"], ascending=[False, True, True])[["w1", "w2"]].itertuples(index=False, name=None))
@@ -100,9 +103,9 @@ def semantic_clusters(pairs: DataFrame, top_k: int = 5, starts: int = 20, sweep:
                 continue
             members = dict.fromkeys((a, b))
             for c, d in ranked[:sweep]:
-                if c in members and d not in taken:
+                if c in members:
                     members[d] = None
-                elif d in members and c not in taken:
+                elif d in members:
                     members[c] = None
             if len(members) >= least and len(rows) < top_k:
                 taken.update(members)

@@ -200,24 +200,28 @@ def _entity_sql() -> str:
         each = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all({source}, '(?i){p}')) AS entity FROM d WHERE language {lang} 'zh'" for p in patterns)
         return f"SELECT doc_id, '{kind}' AS entity_type, entity FROM ({each})"
 
-    names = ", ".join("'" + c + "'" for c in lex.COUNTRIES)
-    countries = rf"""SELECT doc_id, 'countries' AS entity_type, entity FROM d, (SELECT unnest([{names}]) AS entity)
-      WHERE CASE WHEN language = 'zh' THEN contains(text, entity) ELSE regexp_matches(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_])' || entity || '(?:$|[^\p{{L}}\p{{N}}_])') END"""
+    cases = ", ".join(rf"CASE WHEN CASE WHEN language = 'zh' THEN contains(text, '{c}') ELSE regexp_matches(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_]){c}(?:$|[^\p{{L}}\p{{N}}_])') END THEN '{c}' END" for c in lex.COUNTRIES)
+    countries = f"SELECT doc_id, 'countries' AS entity_type, unnest([{cases}]) AS entity FROM d"
+    # a Chinese character before a sign that is neither Chinese nor white space ends no name: it is blotted out, as this engine has no lookahead
+    han = r"\x{4E00}-\x{9FFF}"
+    seen = rf"regexp_replace(text, '[{han}]([^{han} \t\n\x0B\f\r])', '#\1', 'g')"
+    known = ", ".join(f"CASE WHEN contains(text, '{p}') THEN '{p}' END" for p in lex.PERSONS_ZH)
+    persons = rf"""SELECT doc_id, 'persons' AS entity_type, unnest(list_concat([{known}], regexp_extract_all({seen}, '(?:{"|".join(dict.fromkeys(lex.SURNAMES_ZH))})[{han}]{{1,2}}'))) AS entity FROM d WHERE language = 'zh'"""
     parts = [
-        countries, found("<>", "organizations", "folded", lex.ORGANISATIONS_EN), found("=", "organizations", "text", lex.ORGANISATIONS_ZH),
+        countries, persons, found("<>", "organizations", "folded", lex.ORGANISATIONS_EN), found("=", "organizations", "text", lex.ORGANISATIONS_ZH),
         found("<>", "projects", "folded", lex.PROJECTS_EN), found("=", "projects", "text", lex.PROJECTS_ZH),
     ]
-    return rf"""d AS (SELECT doc_id, text, {_LANG.format("text")} AS language, {_FOLD.format("text")} AS folded FROM documents WHERE text IS NOT NULL),
-e AS (SELECT DISTINCT doc_id, entity_type, regexp_replace(entity, '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS entity, language FROM ({" UNION ALL ".join(parts)}) JOIN d USING (doc_id)),
-ent AS (SELECT doc_id, entity_type, entity FROM e WHERE length(entity) >= CASE WHEN language = 'zh' THEN 2 ELSE 3 END AND entity NOT IN {_list(lex.INVALID_ENTITIES)} AND regexp_matches(entity, '[\p{{L}}_]'))"""
+    return rf"""d AS MATERIALIZED (SELECT doc_id, text, {_LANG.format("text")} AS language, {_FOLD.format("text")} AS folded FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT doc_id, entity_type, regexp_replace(entity, '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS entity, language FROM ({" UNION ALL ".join(parts)}) JOIN d USING (doc_id) WHERE entity IS NOT NULL),
+ent AS MATERIALIZED (SELECT doc_id, entity_type, entity FROM e WHERE length(entity) >= CASE WHEN language = 'zh' THEN 2 ELSE 3 END AND entity NOT IN {_list(lex.INVALID_ENTITIES)} AND regexp_matches(entity, '[\p{{L}}_]'))"""
 
 
 @query(f"WITH {_entity_sql()} SELECT * FROM ent")
 def entities(spark, folder):
-    return _entities(spark, folder).where("entity_type <> 'persons'")
+    return _entities(spark, folder)
 
 
-@query()
+@query(f"WITH {_entity_sql()} SELECT * FROM ent WHERE entity_type = 'persons'")
 def persons(spark, folder):
     return _entities(spark, folder).where("entity_type = 'persons'")
 
@@ -225,7 +229,7 @@ def persons(spark, folder):
 @query(f"""WITH {_entity_sql()} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity_type ORDER BY cnt DESC, entity) AS INTEGER) AS rank FROM (
   SELECT entity_type, entity, count(*) AS cnt FROM ent GROUP BY ALL)) WHERE rank <= 20""")
 def entity_top20(spark, folder):
-    return extract.top_entities(_entities(spark, folder).where("entity_type <> 'persons'"))
+    return extract.top_entities(_entities(spark, folder))
 
 
 def _action_sql(verbs_en: dict, verbs_zh: dict) -> str:
@@ -248,62 +252,48 @@ def action_counts(spark, folder):
     return extract.action_counts(extract.actions(table(spark, folder, "documents")))
 
 
-_REL = f"""{_entity_sql()}, {_action_sql(ACTIONS_HERE, _HERE_ZH)}, an AS (SELECT doc_id, type, keyword, count(*) AS n FROM act WHERE keyword IS NOT NULL GROUP BY ALL),
+def _relation_sql(verbs_en: dict, verbs_zh: dict) -> str:
+    return f"""{_entity_sql()}, {_action_sql(verbs_en, verbs_zh)}, an AS (SELECT doc_id, type, keyword, count(*) AS n FROM act WHERE keyword IS NOT NULL GROUP BY ALL),
 rel AS (SELECT s.doc_id, sent_no, ent.entity AS actant, ent.entity_type AS actant_type, an.type AS action, an.keyword, substr(s, 1, 200) AS sentence, an.n
 FROM s JOIN ent ON ent.doc_id = s.doc_id AND contains(s.s, ent.entity) JOIN an ON an.doc_id = s.doc_id AND contains(lower(s.s), an.keyword))"""
 
 
+_REL = _relation_sql(ACTIONS_HERE, _HERE_ZH)
+
+
 def _relations(spark, folder):
-    docs = table(spark, folder, "documents")
-    ents = _entities(spark, folder).where("entity_type <> 'persons'")
-    acts = extract.actions(docs, verbs_en=ACTIONS_HERE, verbs_zh=_HERE_ZH)
-    return ents, acts, extract.relations(docs, ents, acts)
+    return extract.relations(table(spark, folder, "documents"), verbs_en=ACTIONS_HERE, verbs_zh=_HERE_ZH)
 
 
 @query(f"WITH {_REL} SELECT * FROM rel")
 def relations(spark, folder):
-    return _relations(spark, folder)[2]
+    return _relations(spark, folder)
 
 
 @query(f"""WITH {_REL} SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM act WHERE keyword IS NOT NULL) AS actions, (SELECT CAST(sum(n) AS BIGINT) FROM rel) AS relations""")
 def extraction_totals(spark, folder):
-    return extract.extraction_totals(*_relations(spark, folder))
+    acts = extract.actions(table(spark, folder, "documents"), verbs_en=ACTIONS_HERE, verbs_zh=_HERE_ZH)
+    return extract.extraction_totals(_entities(spark, folder), acts, _relations(spark, folder))
 
 
-def _all_relations(spark, folder):
-    """As `_relations`, persons included; SQL has no lookahead for their pattern, so the queries on it have none."""
-    docs = table(spark, folder, "documents")
-    ents = _entities(spark, folder)
-    acts = extract.actions(docs, verbs_en=ACTIONS_HERE, verbs_zh=_HERE_ZH)
-    return ents, acts, extract.relations(docs, ents, acts)
+@query(f"""WITH {_REL} SELECT CAST(row_number() OVER (ORDER BY doc_id, sent_no, actant_type, actant, action, keyword) AS INTEGER) AS rank, actant, actant_type, action, substr(sentence, 1, 100) || '...' AS context
+FROM (SELECT * FROM rel ORDER BY doc_id, sent_no, actant_type, actant, action, keyword LIMIT 50)""")
+def relation_contexts(spark, folder):
+    return extract.relation_contexts(_relations(spark, folder))
 
 
-@query()
-def entity_top20_all(spark, folder):
-    return extract.top_entities(_entities(spark, folder))
-
-
-@query()
-def relations_all(spark, folder):
-    return _all_relations(spark, folder)[2]
-
-
-@query()
-def extraction_totals_all(spark, folder):
-    return extract.extraction_totals(*_all_relations(spark, folder))
-
-
-@query(f"""WITH {_entity_sql()} SELECT entity_type, entity, country AS "group", count(*) AS cnt FROM ent JOIN documents USING (doc_id) WHERE entity_type = 'countries' GROUP BY ALL""")
+@query(f"""WITH {_entity_sql()} SELECT entity_type, entity, country AS "group", count(*) AS cnt FROM ent JOIN documents USING (doc_id) GROUP BY ALL""")
 def country_actants(spark, folder):
     groups = table(spark, folder, "documents").select("doc_id", F.col("country").alias("group"))
-    return extract.group_actants(_entities(spark, folder), groups, ["countries"])
+    return extract.group_actants(_entities(spark, folder), groups)
 
 
-@query()
+_KINDS = ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE action = '{k}'), 0) AS BIGINT) AS \"{k}\"" for k in lex.ACTIONS_EN)
+
+
+@query(f"WITH {_relation_sql(lex.ACTIONS_EN, lex.ACTIONS_ZH)} SELECT actant, {_KINDS} FROM rel GROUP BY actant")
 def action_entity_matrix(spark, folder):
-    docs = table(spark, folder, "documents")
-    ents = _entities(spark, folder)
-    return extract.action_entity_matrix(extract.relations(docs, ents, extract.actions(docs)))
+    return extract.action_entity_matrix(extract.relations(table(spark, folder, "documents")))
 
 
 _SITES = """m AS (SELECT file_prefix || '_links.txt' AS src_file, max_by(CASE """ + " ".join(f"WHEN contains(country, '{a}') THEN '{b}'" for a, b in lex.COUNTRY_NAMES) + """ ELSE translate(country, ' -', '__') END, coalesce(url, '')) AS country

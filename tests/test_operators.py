@@ -47,7 +47,7 @@ def test_actions_and_relations(spark):
     assert {(r.type, r.keyword) for r in acts.where("sent_no = 0").collect()} == {("trade", "import"), ("support", "aid")}
     ents = extract.entities(docs)
     assert {r.entity for r in ents.collect()} == {"China"}
-    rel = extract.relations(docs, ents, acts).where("keyword = 'trade'")
+    rel = extract.relations(docs).where("keyword = 'trade'")
     assert rel.agg(F.sum("n")).first()[0] == 4
 
 
@@ -109,7 +109,7 @@ def test_crawl_states(spark):
 
 
 def test_site_parsers(spark):
-    page = "<h1>A long title</h1><main><p>short</p><p>A paragraph that is long enough to stay.</p><p>A paragraph that is long enough to stay.</p></main><li>May 3, 2024 <a href='/p/1.html'>A title of length</a></li><div class=g><a href='http://x.e/a.doc'>k</a><h3>Hit 2021-03-04</h3></div>"
+    page = "<h1>A long title</h1><main><p>short</p><p>A paragraph that is long enough to stay.</p><p>A paragraph that is long enough to stay.</p></main><li>May.3, 2024 <a href='/p/1.html'>A title of length</a></li><li>May 4, 2024 <a href='/p/2.html'>A month without a dot</a></li><div class=g><a href='http://x.e/a.doc'>k</a><h3>Hit 2021-03-04</h3></div>"
     df = spark.createDataFrame([("http://h.e/", page)], "url string, html string")
     assert html.site_articles(df, strict=True).first()["content"] == "A paragraph that is long enough to stay."
     assert [tuple(r)[1:] for r in html.dated_items(df, "http://d.e").collect()] == [("http://d.e/p/1.html", "A title of length")]
