@@ -1,6 +1,7 @@
 """Days and moments written in many notations, brought to one form. Built from column expressions only."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import source_of
@@ -103,31 +104,57 @@ def parse_moments(df: DataFrame, date_col: str = "date", order_col: str = "date_
     )
 
 
-def estimate_zones(moments: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
-    """`source, zone` for each source of `moments` (`source, local_s, ingested_s`: local and ingestion seconds).
+def _zone_offset(utc_s: Column, zone: Column) -> Column:
+    """Seconds east of Greenwich that the zone's history has at a moment."""
+    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(utc_s), zone)) - utc_s
 
-    Each candidate offset history is aligned with the ingestion times: a moment after its own ingestion is a violation. The
-    history with the fewest violations is chosen; among equals the one that leaves the least total waiting time, then the first name.
-    Rows are pre-aggregated by source and zone, so a source that holds most rows is no hot group.
+
+def estimate_zones(moments: DataFrame, zones: tuple[str, ...] = ZONES, tight: int = 3600, least: int = 3) -> DataFrame:
+    """`source, zone` for each source of `moments` whose zone the data tell; `zone` is null for the others.
+
+    `moments` has `source`, `local_s` (local seconds), `ingested_s` (seconds of the ingestion), `offset_s` (seconds east of Greenwich where the
+    value names a zone itself, else null). Each candidate offset history is tried on all of a source's moments. Violations of it are:
+
+    * a moment without a zone that lies after its own ingestion;
+    * a moment with a zone whose offset isn't the history's at that moment;
+    * a break of the sequence: of two moments, one after the other in the order of ingestion within a day, one with and one without
+      a zone, the one that was ingested later is the earlier moment.
+
+    The history with the fewest violations is chosen; among equals the one that leaves the least waiting, then the first name. A choice counts only if
+    something ties it down: a moment with a zone that agrees with it, or `least` moments that it puts less than `tight` seconds
+    before their ingestion. Otherwise, as after late crawls, every zone far enough east fits, and the result is null.
+    Rows are pre-aggregated by source and zone, the sequence is looked at by day, so a source that holds most rows is no hot group.
     """
-    local = F.timestamp_seconds("local_s")
+    zone = F.col("zone")
     aligned = moments.where(F.col("local_s").isNotNull() & F.col("ingested_s").isNotNull()).select(
-        "source", "ingested_s", F.explode(F.array(*[F.lit(z) for z in zones])).alias("zone"), local.alias("local_t")
+        "source", "local_s", "ingested_s", "offset_s", F.explode(F.array(*[F.lit(z) for z in zones])).alias("zone")
     )
-    wait = F.col("ingested_s") - F.unix_seconds(F.to_utc_timestamp("local_t", F.col("zone")))
+    own = F.col("local_s") - F.col("offset_s")
+    aligned = aligned.withColumn("utc", F.coalesce(own, F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("local_s"), zone))))
+    order = W.partitionBy("source", "zone", F.floor(F.col("ingested_s") / 86400)).orderBy("ingested_s", "local_s", "offset_s")
+    named = F.col("offset_s").isNotNull()
+    before = lambda c: F.lag(c).over(order)
+    mixed = before(named) != named
+    back = mixed & (before("ingested_s") < F.col("ingested_s")) & (before("utc") > F.col("utc"))
+    aligned = aligned.withColumn("back", F.coalesce(back, F.lit(False)))
+    wait = F.col("ingested_s") - F.col("utc")
+    agrees = _zone_offset(F.col("utc"), zone) == F.col("offset_s")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     scored = aligned.groupBy("source", "zone").agg(
-        F.sum((wait < 0).cast("int")).alias("violations"), F.sum(F.abs(wait)).alias("waiting")
+        (count(~named & (wait < 0)) + count(named & ~agrees) + count(F.col("back"))).alias("violations"),
+        F.sum(F.when(~named, F.abs(wait)).otherwise(0)).alias("waiting"),
+        (count(named & agrees) * least + count(~named & wait.between(0, tight - 1))).alias("ties"),
     )
-    best = F.min_by("zone", F.struct("violations", "waiting", "zone"))
-    return scored.groupBy("source").agg(best.alias("zone"))
+    best = scored.groupBy("source").agg(F.min_by(F.struct("zone", "ties"), F.struct("violations", "waiting", "zone")).alias("best"))
+    return best.select("source", F.when(F.col("best.ties") >= least, F.col("best.zone")).alias("zone"))
 
 
 def normalise_dates(articles: DataFrame, sites: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
     """`article_id, date_norm` for each article whose `date` names a full, existing day.
 
     A day gives `yyyy-MM-dd`. With a time of day it gives UTC `yyyy-MM-ddTHH:mm:ssZ`: a written zone or offset holds; else the
-    `tz_name` of the site (`file_prefix` + `_links.txt` is the source); else the zone that `estimate_zones` chooses for the source,
-    from `crawl_time`; else UTC. A local time that occurs twice means the first, one that is skipped is read with the offset before
+    `tz_name` of the site (`file_prefix` + `_links.txt` is the source); else the zone that `estimate_zones` finds for the source,
+    from `crawl_time` (UTC) and from the source's values that name a zone; else UTC. A local time that occurs twice means the first, one that is skipped is read with the offset before
     the change. Null, empty and relative dates, bare years and months, days that don't exist: no row. Articles that share an id keep
     one row each; several sites with one prefix: the least by (tz_name, date_order) holds.
     """
@@ -141,9 +168,9 @@ def normalise_dates(articles: DataFrame, sites: DataFrame, zones: tuple[str, ...
     parsed = parse_moments(base.join(site, "source", "left"))
     parsed = parsed.where(F.col("_day").isNotNull() | F.col("_epoch").isNotNull())
     parsed = parsed.withColumn("local_s", F.datediff("_day", F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + F.col("_second"))
-    ingested = F.unix_seconds(F.to_utc_timestamp(F.col("crawl_time").try_cast("timestamp"), "UTC"))
-    open_ = parsed.where(F.col("tz_name").isNull() & F.col("_offset").isNull() & F.col("local_s").isNotNull())
-    guessed = estimate_zones(open_.select("source", "local_s", ingested.alias("ingested_s")), zones)
+    ingested = F.unix_seconds(F.concat(F.trim("crawl_time"), F.when(F.col("crawl_time").rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})\s*$"), "").otherwise("Z")).try_cast("timestamp"))
+    open_ = parsed.where(F.col("tz_name").isNull() & F.col("local_s").isNotNull())
+    guessed = estimate_zones(open_.select("source", "local_s", ingested.alias("ingested_s"), (F.col("_offset").cast("bigint") * 60).alias("offset_s")), zones)
     parsed = parsed.join(guessed, "source", "left")
     zone = F.coalesce("tz_name", "zone", F.lit("UTC"))
     by_zone = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("local_s"), zone))

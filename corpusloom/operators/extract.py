@@ -53,13 +53,13 @@ def _entity_array(zh: Column, t: Column, low: Column, folded: Column, countries:
 
 
 def _with_entities(docs: DataFrame, doc_id: str, text: str, countries: list[str], extra: Column | None) -> DataFrame:
-    """`doc_id, t, lang, ents`, one row for each text that isn't null. The language is computed once for each text, below any explode."""
+    """`doc_id, t, low, lang, ents`, one row for each text that isn't null. The language is computed once for each text, below any explode."""
     t = F.col(text)
     more = [extra.alias("extra")] if extra is not None else []
     base = docs.where(t.isNotNull()).select(F.col(doc_id).alias("doc_id"), t.alias("t"), detect_language(t).alias("lang"), F.lower(t).alias("low"), *more)
     base = base.withColumn("folded", F.when(F.col("lang") != "zh", ascii_fold("t")))
     ents = _entity_array(F.col("lang") == "zh", F.col("t"), F.col("low"), F.col("folded"), countries, F.col("extra") if more else None)
-    return base.select("doc_id", "t", "lang", ents.alias("ents"))
+    return base.select("doc_id", "t", "low", "lang", ents.alias("ents"))
 
 
 def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", countries: list[str] = lex.COUNTRIES, extra: Column | None = None) -> DataFrame:
@@ -94,7 +94,7 @@ def relations(
     `n` is how often the document has that action, so multiplicity is kept without repeating rows. Entities and actions are functions of the
     row, so all of it is one projection over the documents: no join, no shuffle.
     """
-    base = _with_entities(docs, doc_id, text, countries, extra).select("doc_id", (F.col("lang") == "zh").alias("zh"), "ents", sentences("t").alias("ss"))
+    base = _with_entities(docs, doc_id, text, countries, extra).select("doc_id", "low", (F.col("lang") == "zh").alias("zh"), "ents", sentences("t").alias("ss"))
     base = base.withColumn("lows", F.transform("ss", F.lower))
 
     def first_is(verb: str, before: list[str]) -> Callable[[Column], Column]:
@@ -105,7 +105,7 @@ def relations(
         out = []
         for kind, words in verbs.items():
             for i, verb in enumerate(words):
-                out.append(F.struct(F.lit(kind).alias("type"), F.lit(verb).alias("keyword"), F.size(F.filter("lows", first_is(verb, words[:i]))).cast("bigint").alias("n")))
+                out.append(F.struct(F.lit(kind).alias("type"), F.lit(verb).alias("keyword"), F.when(F.contains("low", F.lit(verb)), F.size(F.filter("lows", first_is(verb, words[:i])))).otherwise(0).cast("bigint").alias("n")))
         return F.filter(F.array(*out), lambda a: a["n"] > 0)
 
     base = base.withColumn("acts", F.when(F.col("zh"), counted(verbs_zh)).otherwise(counted(verbs_en)))

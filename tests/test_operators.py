@@ -74,13 +74,12 @@ def test_all_entity_types_against_brute_force(spark, tmp_path):
         parts = [s for s in text.split("。") if len(s) >= 10]
         acts = Counter((k, next(v for v in verbs if v in s)) for s in parts for k, verbs in _HERE_ZH.items() if any(v in s for v in verbs))
         want.update({(d, i, p, k, v, n): 1 for i, s in enumerate(parts) for p in own if p in s for (k, v), n in acts.items() if v in s})
-    run = {k: QUERIES[k](spark, str(tmp_path)).collect() for k in ("entity_top20_all", "relations_all", "extraction_totals_all", "entities", "relations", "extraction_totals")}
-    got = Counter((r.doc_id, r.sent_no, r.actant, r.action, r.keyword, r.n) for r in run["relations_all"] if r.actant_type == "persons")
+    run = {k: QUERIES[k](spark, str(tmp_path)).collect() for k in ("entity_top20", "relations", "extraction_totals", "entities")}
+    got = Counter((r.doc_id, r.sent_no, r.actant, r.action, r.keyword, r.n) for r in run["relations"] if r.actant_type == "persons")
     assert got == want and want
-    assert {r.entity: r.cnt for r in run["entity_top20_all"] if r.entity_type == "persons"} == people
-    total, less = run["extraction_totals_all"][0], run["extraction_totals"][0]
-    assert total.entities == len(run["entities"]) + sum(people.values()) and total.actions == less.actions
-    assert total.relations == less.relations + sum(k[-1] for k in want.elements())
+    assert {r.entity: r.cnt for r in run["entity_top20"] if r.entity_type == "persons"} == people
+    total = run["extraction_totals"][0]
+    assert total.entities == len(run["entities"]) and total.relations == sum(r.n for r in run["relations"])
 
 
 PAGE = """<html><head><title>T</title><meta name="date" content=" 2024-05-01 "></head><body><nav><a href="/n">x</a></nav>
@@ -147,15 +146,61 @@ CASES = [
     ("a", "2021", None), ("a", "{{date}}", None), ("b", "6/30/2018 2:17 AM", "2018-06-30T07:17:00Z"), ("a", "28.10.2018. - 02:30", "2018-10-28T00:30:00Z"), ("a", "2019-03-31 02:30", "2019-03-31T01:30:00Z"),
     ("a", "June 2, 2022 4:56 PM UTC+02:00", "2022-06-02T14:56:00Z"), ("a", "2023-07-09 05:35:48 -05:00", "2023-07-09T10:35:48Z"), ("a", "1578092945", "2020-01-03T23:09:05Z"), ("a", "1670740879659", "2022-12-11T06:41:19Z"),
     ("a", "20190603T171508Z", "2019-06-03T17:15:08Z"), ("a", "2018年07月28日 下午11:08", "2018-07-28T21:08:00Z"), ("a", "le 1er août 2025", "2025-08-01"), ("a", "Mon Oct 02 2023 12:26:37 GMT+0300", "2023-10-02T09:26:37Z"),
-    ("a", "3 Agustus 2018 22.39 WIB", "2018-08-03T15:39:00Z"), ("z", "2020-01-01 12:00", "2020-01-01T04:00:00Z"), ("z", "2020-06-01 10:00", "2020-06-01T02:00:00Z"),
+    ("a", "3 Agustus 2018 22.39 WIB", "2018-08-03T15:39:00Z"), ("z", "2020-01-01 12:00", "2020-01-01T04:00:00Z"), ("z", "2020-06-01 10:00", "2020-06-01T02:00:00Z"), ("z", "2020-09-01 08:00", "2020-09-01T00:00:00Z"),
 ]
 
 
 def test_dates(spark):
     sites = spark.createDataFrame(SITES, "url string, country string, keyword string, file_prefix string, tz_name string, date_order string")
-    crawl = {"z": ["2020-01-01 04:00:30", "2020-06-01 02:00:10"]}
+    crawl = {"z": ["2020-01-01 04:00:30", "2020-06-01 02:00:10", "2020-09-01 00:00:20"]}
     rows = [(i, f" {p.upper()}_links.txt", d, crawl["z"].pop(0) if p == "z" else "2025-11-01 00:00:00") for i, (p, d, _) in enumerate(CASES)]
     arts = spark.createDataFrame(rows, "article_id bigint, src_file string, date string, crawl_time string")
     got = {r.article_id: r.date_norm for r in dates.normalise_dates(arts, sites).collect()}
     assert [(CASES[i][1], got.get(i)) for i in range(len(CASES))] == [(d, want) for _, d, want in CASES]
     assert dates.normalise_dates(arts.where("false"), sites).count() == 0
+
+
+def test_zones_are_estimated_from_what_ties_them_down(spark):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    def stamps(source, zone, late, named=(), n=40, start=dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc)):
+        """Moments over a year, ingested `late(i)` seconds later; those in `named` state their offset."""
+        for i in range(n):
+            utc = start + dt.timedelta(days=9 * i, hours=i % 24)
+            local = utc.astimezone(ZoneInfo(zone))
+            offset = int(local.utcoffset().total_seconds())
+            yield source, int(utc.timestamp()) + offset, int(utc.timestamp()) + late(i), offset if i in named else None
+
+    days = 86400
+    rows = [
+        *stamps("live", "Europe/Belgrade", lambda i: 60 * (i % 5) + 20),  # through two changes of the clock
+        *stamps("mixed", "Asia/Jakarta", lambda i: 60 + i % 7 * days),  # some at once, some late
+        *stamps("late", "Asia/Shanghai", lambda i: 3 * days + i * 977 % days),  # crawled days later: nothing tells the zone
+        *stamps("named", "Africa/Cairo", lambda i: 3 * days, named=(3, 20, 33)),  # crawled late, but some values name their zone
+        ("empty", None, 5, None), ("alone", 1_700_000_000, None, None),
+    ]
+    df = spark.createDataFrame(rows, "source string, local_s bigint, ingested_s bigint, offset_s bigint")
+    got = {r.source: r.zone for r in dates.estimate_zones(df).collect()}
+    assert got == {"live": "Europe/Belgrade", "mixed": "Asia/Jakarta", "late": None, "named": "Africa/Cairo"}
+
+
+def test_clusters_take_words_of_earlier_clusters(spark):
+    pairs = [("a", "b", 9.0), ("b", "c", 8.0), ("x", "y", 7.0), ("c", "y", 6.0), ("p", "q", 5.0)]
+    df = spark.createDataFrame([("g", a, b, p) for a, b, p in pairs], "group string, w1 string, w2 string, pmi double")
+    # the first start takes a, b, c and, through (c, y), y; x and y can't start as y is taken; p and q stay two words
+    assert [(r.cluster_id, sorted(r.members)) for r in stats.semantic_clusters(df).collect()] == [(0, ["a", "b", "c", "y"])]
+    df = spark.createDataFrame([("g", a, b, p) for a, b, p in [("a", "b", 9.0), ("a", "c", 8.0), ("x", "y", 7.0), ("c", "z", 1.0), ("x", "z", 0.5)]], "group string, w1 string, w2 string, pmi double")
+    got = {r.cluster_id: sorted(r.members) for r in stats.semantic_clusters(df, sweep=4).collect()}
+    assert got == {0: ["a", "b", "c", "z"]}
+    got = {r.cluster_id: sorted(r.members) for r in stats.semantic_clusters(df.where("w2 <> 'z' or w1 <> 'c'"), sweep=5).collect()}
+    assert got == {0: ["a", "b", "c"], 1: ["x", "y", "z"]}
+
+
+def test_relations_count_each_action_of_the_document(spark):
+    text = "Russia and China trade grain today. Kenya will trade with China soon. Nothing else was said here."
+    df = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "", 5)], "doc_id bigint, text string, type int")
+    rel = {(r.actant, r.sent_no): r.n for r in extract.relations(df).where("keyword = 'trade'").collect()}
+    assert rel == {("Russia", 0): 2, ("China", 0): 2, ("Kenya", 1): 2, ("China", 1): 2}
+    first = extract.relation_contexts(extract.relations(df), most=1).collect()
+    assert len(first) == 1 and first[0]["rank"] == 1 and first[0].context.endswith("...")
