@@ -82,6 +82,34 @@ def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+@cache
+def _digits() -> np.ndarray:
+    return np.fromiter((chr(c).isdigit() for c in range(_TOP + 1)), dtype=bool, count=_TOP + 1)
+
+
+def masked_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A positive number for each word of the texts, in lower case, the same for all words that begin with a digit, and the number of words of
+    each line of all texts."""
+    kinds, _, numbers = _tables()
+    code = np.minimum(np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _TOP)
+    breaks = np.flatnonzero(code == 10)
+    kind = kinds[code]
+    at = np.flatnonzero(kind > 0)
+    if not len(at):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(breaks) + 1, dtype=np.int64)
+    begin = np.ones(len(at), dtype=bool)
+    begin[1:] = (at[1:] != at[:-1] + 1) | (kind[at[1:]] == 2) | (kind[at[:-1]] == 2)
+    starts = np.flatnonzero(begin)
+    length = np.diff(np.concatenate((starts, [len(at)])))
+    place = np.arange(len(at)) - np.repeat(starts, length)
+    with np.errstate(over="ignore"):
+        word = mixed(np.add.reduceat(numbers[code[at]] * (mixed(np.arange(int(length.max()), dtype=np.uint64)) | np.uint64(1))[place], starts))
+    number = (word >> np.uint64(2)).astype(np.int64) + 2
+    first = at[starts]
+    number[_digits()[code[first]]] = 1
+    return number, np.diff(np.concatenate(([0], np.searchsorted(first, breaks), [len(first)])))
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int):
     """Cuts a batch into pieces of about `most` bytes of text, so that memory depends on the longest text only."""
     texts = batch.column(column)

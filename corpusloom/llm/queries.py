@@ -128,3 +128,13 @@ WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, {_
 i AS (SELECT DISTINCT item_id, unnest({_GRAMS}) AS g FROM (
   SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format("question")} AS w FROM eval_items))
 SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"""
+
+SQL["p9_report"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), d AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM w),
+f AS (
+  SELECT item_id, 'passage' AS kind, {_WORDS.format("passage")} AS w FROM eval_items UNION ALL SELECT item_id, 'question' AS kind, {_WORDS.format("question")} AS w FROM eval_items),
+i AS (SELECT DISTINCT item_id, kind, unnest({_GRAMS}) AS g FROM f),
+n AS (SELECT doc_id, item_id, count(*) FILTER (WHERE kind = 'passage') AS in_passage, count(*) FILTER (WHERE kind = 'question') AS in_question FROM d JOIN i USING (g) GROUP BY ALL),
+a AS (SELECT item_id, array_to_string({_WORDS.format("answer")}, ' ') AS answer FROM eval_items)
+SELECT doc_id, item_id, in_passage, in_question, answer <> '' AND contains(' ' || array_to_string(w.w, ' ') || ' ', ' ' || answer || ' ') AS answer_near
+FROM n JOIN w USING (doc_id) JOIN a USING (item_id)"""
