@@ -1,6 +1,7 @@
 """Source files, countries, link counts: the lookups around a link list."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalars import country_of_name, normalize_country
@@ -35,6 +36,16 @@ def link_counts(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.groupBy("src_file").agg(F.sum(F.regexp_count(text, F.lit("URL:"))).cast("bigint").alias("links"))
 
 
+def link_summary(counts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`no, country, src_file, links, total_files, total_links` of `link_counts`, numbered by file; files without a country go by their own name."""
+    named = counts.join(mapping.groupBy("src_file").agg(F.min("country").alias("country")), "src_file", "left")
+    every = W.partitionBy(F.lit(1))  # one row for each link file
+    return named.select(
+        F.row_number().over(every.orderBy("src_file")).alias("no"), F.coalesce("country", "src_file").alias("country"), "src_file", "links",
+        F.count("*").over(every).alias("total_files"), F.sum("links").over(every).alias("total_links"),
+    )
+
+
 def mapping_summary(mapping: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: `country_mapping` (map), `statistics` (map of documents by country), `total_sources`. The maps are as small as the seed list."""
     entries = lambda df, k, v: df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(k, v)))).alias("m")).withColumn("k", F.lit(1))

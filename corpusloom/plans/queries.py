@@ -170,6 +170,23 @@ def chinese_terms(spark, folder):
     return stats.top_terms(stats.tokenized(docs, "source", tokens=tokenize_zh("text")), 20)
 
 
+_ZH = r"""zh AS (SELECT source AS "group", unnest([substr(text, i, 2) for i in range(1, length(text))]) AS term FROM documents WHERE lang = 'zh' AND trim(text, ' ') <> '')"""
+
+
+@query(f"""WITH {_ZH}, g AS (SELECT DISTINCT source AS "group" FROM documents WHERE lang = 'zh' AND trim(text, ' ') <> ''),
+n AS (SELECT g."group", count(*) FILTER (WHERE term IN {_list(lex.POSITIVE_ZH)}) AS positive_count, count(*) FILTER (WHERE term IN {_list(lex.NEGATIVE_ZH)}) AS negative_count FROM g LEFT JOIN zh USING ("group") GROUP BY g."group")
+SELECT *, round(positive_count / (negative_count + 1), 4) AS ratio FROM n""")
+def chinese_sentiment(spark, folder):
+    docs = table(spark, folder, "documents").where("lang = 'zh'")
+    return stats.sentiment(stats.tokenized(docs, "source", tokens=tokenize_zh("text")), lex.POSITIVE_ZH, lex.NEGATIVE_ZH)
+
+
+@query()
+def chinese_keywords(spark, folder):
+    docs = table(spark, folder, "documents").where("lang = 'zh'")
+    return stats.tfidf_keywords(stats.tokenized(docs, "source", tokens=tokenize_zh("text")))
+
+
 @query()
 def chinese_textrank(spark, folder):
     docs = table(spark, folder, "documents").where("lang = 'zh'")
@@ -326,6 +343,13 @@ def unmatched_files(spark, folder):
     return mapping.unmatched(_article_files(spark, folder), table(spark, folder, "country_mapping"))
 
 
+@query("""WITH c AS (SELECT src_file, count(*) AS links FROM link_hits WHERE url IS NOT NULL GROUP BY 1), m AS (SELECT src_file, min(country) AS country FROM country_mapping GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY src_file) AS INTEGER) AS no, coalesce(country, src_file) AS country, src_file, links, count(*) OVER () AS total_files, CAST(sum(links) OVER () AS BIGINT) AS total_links FROM c LEFT JOIN m USING (src_file)""")
+def link_summary(spark, folder):
+    lines = files.link_file_lines(table(spark, folder, "link_hits").where("url is not null")).select("src_file", F.regexp_extract("block", r"(?m)^   (URL:) ", 1).alias("value"))
+    return mapping.link_summary(mapping.link_counts(lines), table(spark, folder, "country_mapping"))
+
+
 @query()
 def mapping_summary(spark, folder):
     return mapping.mapping_summary(mapping.seed_mapping(table(spark, folder, "seed_sites")), _article_files(spark, folder))

@@ -23,16 +23,23 @@ def statistics_report(docs: DataFrame, group: str, text: str = "text") -> DataFr
     toks = stats.tokenized(docs, group, text)
     pair = F.concat_ws(" ", "w1", "w2")
     none = F.lit(None).cast("int")
+    similarity, feeling = stats.mean_similarity(toks), stats.sentiment(toks)
     parts = [
         _section(stats.corpus_size(toks), "size", none, F.lit("total_words"), F.col("total_words")),
         _section(stats.top_terms(toks, 20), "terms", F.col("rank"), F.col("term"), F.col("cnt")),
         _section(stats.tfidf_keywords(toks), "keywords", F.col("rank"), F.col("term"), F.format_string("%.4f", "score")),
+        _section(stats.top_ngrams(toks, 2, 20, least=1), "phrases", F.col("rank"), F.col("term"), F.col("cnt")),
+        _section(stats.semantic_clusters(stats.pmi(toks)), "clusters", F.col("cluster_id") + 1, F.array_join("members", ", "), F.size("members")),
         _section(stats.top_pairs(toks, 15), "cooccurrence", F.col("rank"), pair, F.col("cnt")),
         _section(stats.top_ngrams(toks, 2, 15), "bigrams", F.col("rank"), F.col("term"), F.col("cnt")),
         _section(stats.top_ngrams(toks, 3, 10), "trigrams", F.col("rank"), F.col("term"), F.col("cnt")),
         _section(stats.capitalised_entities(docs, group, text), "entities", none, F.col("entity"), F.col("cnt")),
-        _section(stats.mean_similarity(toks), "similarity", none, F.lit("avg_similarity"), F.format_string("%.4f", "avg_similarity")),
-        _section(stats.sentiment(toks), "sentiment", none, F.lit("ratio"), F.format_string("%.2f", "ratio")),
+        _section(similarity, "similarity", none, F.lit("avg_similarity"), F.format_string("%.4f", "avg_similarity")),
+        _section(similarity, "similarity", none, F.lit("matrix"), F.format_string("%dx%d", "n", "n")),
+        _section(feeling, "sentiment", none, F.lit("positive"), F.col("positive_count")),
+        _section(feeling, "sentiment", none, F.lit("negative"), F.col("negative_count")),
+        _section(feeling, "sentiment", none, F.lit("ratio"), F.format_string("%.2f", "ratio")),
+        _section(stats.sentiment_words(toks), "sentiment words", F.col("rank"), F.concat_ws(" ", "polarity", "term"), F.col("cnt")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

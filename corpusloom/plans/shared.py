@@ -1,5 +1,7 @@
 """Plan helpers: cutting lineage in a folder all executors share, and broadcasts behind a check of their size."""
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir of the session; only where that is unset, as in tests, a folder of this machine."""
+    """Uses spark.checkpoint.dir of the session; only where that is unset and all runs on this machine, as in tests, a folder of its own that
+    is removed at the end."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
 
 
 def settle(df: DataFrame) -> DataFrame:

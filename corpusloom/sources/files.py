@@ -109,3 +109,8 @@ def write_records(records: DataFrame, path: str) -> None:
 def write_link_files(hits: DataFrame, path: str) -> None:
     """One folder of text for each source; sources that already have one are left alone."""
     link_file_lines(hits).select("src_file", F.col("block").alias("value")).write.mode("ignore").partitionBy("src_file").text(path)
+
+
+def write_mapping(summary: DataFrame, path: str) -> None:
+    """The one row of `mapping_summary` as a JSON object."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
