@@ -110,14 +110,14 @@ def masked_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return number, np.diff(np.concatenate(([0], np.searchsorted(first, breaks), [len(first)])))
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int):
-    """Cuts a batch into pieces of about `most` bytes of text, so that memory depends on the longest text only."""
+def slices(batch: pa.RecordBatch, column: int, most: int, rows: int = 4_000):
+    """Cuts a batch into pieces of about `most` bytes of text and at most `rows` rows, so that memory depends on the longest text only."""
     texts = batch.column(column)
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     ends = np.cumsum(size)
     at = 0
     while at < len(batch):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
         yield batch.slice(at, to - at)
         at = to

@@ -149,10 +149,11 @@ def _signatures(sub: np.ndarray, token: np.ndarray, rank: np.ndarray, hot: int,
         need = rule.need(z, bucket, role)
         group = np.where(common, _shift(hashed, 20) % groups.astype(np.uint64), 0).astype(np.int64) + common
         wide = int(group.max()) + 1
-        key = (sub * wide + group) << 22 | index
+        bits = len(sub).bit_length()
+        key = (sub * wide + group) << bits | index
         key.sort()
-        by = key & ((1 << 22) - 1)
-        key >>= 22
+        by = key & ((1 << bits) - 1)
+        key >>= bits
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         place = np.empty(len(sub), dtype=np.int64)
         place[by] = index - np.repeat(begin, np.diff(np.concatenate((begin, [len(sub)]))))
@@ -197,7 +198,10 @@ def _parity(sub: np.ndarray, token: np.ndarray, n: int, words_: int) -> np.ndarr
 
 def _meetings(sig, doc, z, c, flag, maps, rule: _Rule, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sub-sets with a common signature that lies in the prefixes this pair of sizes needs, and whose parity maps allow a similarity."""
-    order = np.argsort(sig.astype(np.uint64) << _U(41) | z.astype(np.uint64) << _U(21) | doc.astype(np.uint64))
+    if len(maps) < 1 << 21 and int(z.max()) < 1 << 20:
+        order = np.argsort(sig.astype(np.uint64) << _U(41) | z.astype(np.uint64) << _U(21) | doc.astype(np.uint64))
+    else:
+        order = np.lexsort((doc, z, sig))
     sig, doc, z, c, flag = sig[order].astype(np.int64), doc[order], z[order].astype(np.int64), c[order].astype(np.int64), flag[order]
     many = np.concatenate(([False], sig[1:] == sig[:-1]))
     many = np.flatnonzero(many | np.concatenate((many[1:], [False])))

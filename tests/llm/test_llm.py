@@ -81,6 +81,18 @@ def test_block_max_wand_finds_all():
             assert f in index.retrieve(index.fields[f][2][start : start + 13].tolist())
 
 
+def test_slices_of_batches():
+    import pyarrow as pa
+
+    from corpusloom.llm.codes import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 5, None, "", "b" * 50, "c", "d"])], names=["t"])
+    for most, rows in ((1, 10), (6, 10), (1000, 4), (1000, 1)):
+        parts = list(slices(batch, 0, most, rows))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist() and all(0 < len(p) <= rows for p in parts)
+    assert list(slices(batch.slice(0, 0), 0, 10)) == []
+
+
 def test_more_items_than_fit_one_pass(spark):
     rng = random.Random(7)
     items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(20)), f"q{i}", "a") for i in range(12)] + [(12, None, None, None)]
