@@ -204,6 +204,31 @@ def test_boilerplate_places(spark):
     assert texts[0] == "Own words of page a stand here." and texts[20] is None and texts[21] == ""
 
 
+def test_boilerplate_counts_all_blocks_of_a_host(spark):
+    def words(i, n):
+        r = random.Random(i)
+        return " ".join("".join(r.choices("bdfgklmnprst", k=6)) for _ in range(n))
+
+    notice = words(-1, 22)
+    rows = []
+    for i in range(120):
+        lines = ["Home", f"{words(i, 12)}."]
+        if i % 10 == 0:  # 12 of 120 pages: too few in most blocks
+            lines += ["Get our app", f"{words(1000 + i, 1)} {notice} {words(2000 + i, 1)}."]
+        if i % 24 == 1:  # 5 pages, between other lines each time
+            lines += [f"{words(3000 + i, 9)}.", "This portal is kept by the chancery of the port.", f"{words(4000 + i, 9)}."]
+        if i % 10 == 3:
+            lines += [f"Shown under: {words(5000 + i, 3)}, {words(6000 + i, 1)}, {words(7000 + i, 1)}"]
+        if i % 8 == 5:
+            lines += ["Read next", words(8000 + i, 7), words(9000 + i, 7)]
+        rows.append((i, "h", 200, None, "\n".join(lines)))
+    df = articles(spark, rows)
+    want = {(i, n + 1) for i, *_, t in rows for n, x in enumerate(t.split("\n")) if x == "Home" or x == "Get our app" or notice in x or x.startswith(("This portal", "Shown", "Read"))}
+    want |= {(i, n) for i in range(120) if i % 8 == 5 for n in (len(rows[i][4].split("\n")) - 1, len(rows[i][4].split("\n")))}
+    for block in (10**6, 30, 8):
+        assert {tuple(r) for r in boilerplate.furniture_places(df, block=block, percent=10.0).collect()} == want, block
+
+
 def test_truncation(spark):
     whole = [f"The town of Abel met number {i} and they agreed to the plan.\nNext steps\nThey will go on with it later." for i in range(40)]
     cut = ["The town of Abel met number 3 and they agr", "It is so. They will go on wi", "Text (more)", "The end is here �"]
